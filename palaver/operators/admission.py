@@ -236,7 +236,7 @@ def _chunk_entries(keys: DataFrame, user: str, time: str, limit: int, window: in
     """The counter each chunk of a hot user is entered with."""
     user_type = keys.schema[user].dataType.simpleString()
 
-    def tabulate(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def tabulate(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         table = chunk_table(np.sort(frame["_micros"].to_numpy()), limit, window)
         return pd.DataFrame([{user: key[0], "_chunk": key[1], **table}])
 

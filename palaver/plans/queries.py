@@ -129,7 +129,13 @@ def rate_alerts_by_policy(spark, sf_dir):
 
 @query
 def rate_limit_records(spark, sf_dir):
-    return sinks.rate_limit_records(_alerts(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    """The records, their JSON read back into fields."""
+    records = sinks.rate_limit_records(_alerts(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    fields = F.from_json("value", """rateLimitEventId string, eventType string, userId string, scopeType string,
+        scopeId string, windowStartUtc string, windowEndUtc string, windowDurationSeconds long, messageCount long,
+        threshold long, excessCount long, messagesPerSecond double, detectedAtUtc string, detectorTaskId string,
+        context string""")
+    return records.select("key", fields.alias("record")).select("key", "record.*")
 
 
 # --- decoding
@@ -241,7 +247,7 @@ def gate_rolling(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    return history.to_history(views.chat_events(spark, sf_dir))
+    return history.to_history(views.consumed(spark, sf_dir))
 
 
 @query

@@ -47,6 +47,14 @@ def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_chat_events(events(spark, sf_dir))
 
 
+def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat messages with the broker partition and offset they were read from."""
+    number = F.col("message_id").cast("long")
+    return chat_events(spark, sf_dir).withColumns({
+        "partition": (number % 3).cast("int"), "offset": F.floor(number / 3).cast("long"),
+    })
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as send requests, one a second; some ids are blank, some texts too long."""
     doc = F.col("doc_id")
@@ -161,7 +169,7 @@ def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise(F.when(channel, "CHANNEL").otherwise("DIRECT_MESSAGE"))
     spelled = F.when(number % 50 == 6, "Group").otherwise(spelled)
     altered = chat.withColumns({
-        "sender_id": F.when(number % 50 == 3, "  ").when(number % 50 == 5, F.lit(None)).otherwise(F.col("sender_id")),
+        "sender_id": F.when(number % 50 == 3, "\u2003 ").when(number % 50 == 5, F.lit(None)).otherwise(F.col("sender_id")),
         "text": F.when(number % 50 == 4, "\t").otherwise(F.col("text")),
     })
     payloads = altered.withColumn("_json", event_json(spelled))
