@@ -98,14 +98,69 @@ def rate_alerts_by_policy(
     below its size threshold and joins by shuffle beyond it.
     """
     check_thresholds(warning, throttle, flag)
+    joined, thresholds = _with_policies(rates, policies, key, warning, throttle, flag)
+    return _alerts(joined, thresholds, highest_only, window_seconds)
+
+
+def _with_policies(
+    rates: DataFrame, policies: DataFrame, key: str, warning: int, throttle: int, flag: int
+) -> tuple[DataFrame, dict[str, Column]]:
     chosen = policies.select(key, *[F.col(name).alias(f"_{name}") for name in ("warning", "throttle", "flag")])
-    joined = rates.join(chosen, key, "left")
-    thresholds = {
+    return rates.join(chosen, key, "left"), {
         "Flag": F.coalesce(F.col("_flag"), F.lit(flag)),
         "Throttle": F.coalesce(F.col("_throttle"), F.lit(throttle)),
         "Warning": F.coalesce(F.col("_warning"), F.lit(warning)),
     }
-    return _alerts(joined, thresholds, highest_only, window_seconds)
+
+
+def detect_alerts(
+    events: DataFrame,
+    window_seconds: int = 60,
+    slide_seconds: int = 10,
+    warning: int = 80,
+    throttle: int = 100,
+    flag: int = 200,
+    policies: DataFrame | None = None,
+    highest_only: bool = False,
+) -> DataFrame:
+    """``rate_alerts`` straight from events. Batch.
+
+    Counts alone are aggregated by hash, and only for the few windows that reach a level is the earliest
+    message looked up, by sender and time. ``policies`` are per user.
+    """
+    check_window(window_seconds, slide_seconds)
+    check_thresholds(warning, throttle, flag)
+    window = F.window("created_at", seconds_text(window_seconds), seconds_text(slide_seconds))
+    rates = (
+        events.groupBy(window.alias("window"), F.col("sender_id").alias("user_id"))
+        .agg(
+            F.count(F.lit(1)).alias("message_count"),
+            F.min("created_at").alias("first_event_at"),
+            F.max("created_at").alias("last_event_at"),
+        )
+        .withColumn("messages_per_second", F.col("message_count").cast("double") / window_seconds)
+    )
+    if policies is None:
+        thresholds = {"Flag": F.lit(flag), "Throttle": F.lit(throttle), "Warning": F.lit(warning)}
+    else:
+        rates, thresholds = _with_policies(rates, policies, "user_id", warning, throttle, flag)
+        # A policy's levels need not rise, so any of them may be the lowest.
+    lowest = F.least(*thresholds.values())
+    reached = rates.filter(F.col("message_count") >= lowest)
+    openings = events.select(
+        F.col("sender_id").alias("user_id"), F.col("created_at").alias("first_event_at"),
+        F.struct("message_id", F.concat_ws(":", "scope_type", "scope_id").alias("scope")).alias("_opening"),
+    )
+    found = (
+        reached.join(openings, ["user_id", "first_event_at"])
+        .groupBy(*reached.columns).agg(F.min("_opening").alias("_opening"))
+        .select(
+            *[name for name in reached.columns if name != "window"],
+            F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+            F.col("_opening.scope").alias("first_scope"),
+        )
+    )
+    return _alerts(found, thresholds, highest_only, window_seconds)
 
 
 def _alerts(rates: DataFrame, thresholds: dict[str, Column], highest_only: bool, window_seconds: int) -> DataFrame:

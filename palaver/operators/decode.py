@@ -19,7 +19,8 @@ _PARSE_SCHEMA = T.StructType([*WIRE_EVENT.fields, T.StructField(_CORRUPT, T.Stri
 def _parsed(df: DataFrame, value: str) -> DataFrame:
     text = F.col(value).cast("string")
     event = F.from_json(text, _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    return df.withColumn("_event", event)
+    # One-element explode: keeps the optimizer from copying the parse into every filter and column that uses it.
+    return df.withColumn("_event", F.explode(F.array(event)))
 
 
 def _shape_reason(value: str) -> Column:

@@ -213,6 +213,7 @@ SELECT sender_id AS user_id, {iso('w')} AS window_start, {iso('w + INTERVAL 1 DA
   scope_id, count(*) AS message_count FROM placed GROUP BY sender_id, w, scope_type, scope_id"""
 ORACLES["rate_alerts"] = f"""WITH {CHAT}, {rates()}
 SELECT {ALERT_ID} AS rate_limit_event_id, {ALERT_COLUMNS} FROM rates JOIN {LEVELS} ON message_count >= threshold"""
+ORACLES["rate_alerts_of_rates"] = ORACLES["rate_alerts"]
 ORACLES["stream_rate_alerts"] = ORACLES["rate_alerts"] + f" WHERE w + INTERVAL 1 DAY <= {WATERMARK}"
 ORACLES["rate_alerts_highest"] = f"""WITH {CHAT}, {rates()}
 SELECT {ALERT_COLUMNS} FROM rates JOIN {LEVELS} ON message_count >= threshold

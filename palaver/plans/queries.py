@@ -80,7 +80,7 @@ def _rates(spark, sf_dir):
 
 
 def _alerts(spark, sf_dir, **options):
-    return abuse.rate_alerts(_rates(spark, sf_dir), **ALERTS, window_seconds=DAY, **options)
+    return abuse.detect_alerts(views.chat_events(spark, sf_dir), DAY, 6 * HOUR, **ALERTS, **options)
 
 
 @query
@@ -104,6 +104,11 @@ def rate_alerts(spark, sf_dir):
     return plain(_alerts(spark, sf_dir))
 
 
+@query
+def rate_alerts_of_rates(spark, sf_dir):
+    return plain(abuse.rate_alerts(_rates(spark, sf_dir), **ALERTS, window_seconds=DAY))
+
+
 @query
 def rate_alerts_highest(spark, sf_dir):
     return plain(_alerts(spark, sf_dir, highest_only=True).drop("rate_limit_event_id"))
@@ -123,8 +128,7 @@ def rate_alerts_by_policy(spark, sf_dir):
         .select("user_id", (F.col("signups") % 3 + 3).alias("warning"), (F.col("signups") % 3 + 5).alias("throttle"),
                 (F.col("signups") % 3 + 7).alias("flag"))
     )
-    found = abuse.rate_alerts_by_policy(_rates(spark, sf_dir), policies, **ALERTS, window_seconds=DAY)
-    return plain(found.drop("rate_limit_event_id"))
+    return plain(_alerts(spark, sf_dir, policies=policies).drop("rate_limit_event_id"))
 
 
 @query
