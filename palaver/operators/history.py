@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from palaver.functions.scope import parse_scope_key, scope_key
 from palaver.operators.skew import exact_quantiles
+from palaver.schemas import HISTORY_ROW
 
 KEY = ("scope_key", "created_at", "message_id")
 WIDE_SCOPE_ROWS = 100_000_000
 
+_STORED = T.StructType([*HISTORY_ROW.fields, T.StructField("day", T.DateType(), True)])
+
 
 def to_history(events: DataFrame) -> DataFrame:
     """Events as history rows; broker partition and offset are kept where the source has them."""
@@ -62,7 +65,7 @@ def with_layout(rows: DataFrame, bucket: str | None = None) -> DataFrame:
 
 
 def write_history(rows: DataFrame, path: str, files_per_day: int = 8) -> None:
-    """Append rows as Parquet by day, each file sorted by the history key.
+    """Append history rows as Parquet by day, each file sorted by the history key.
 
     Within a day rows are spread by scope and a hash of the message, so a busy scope fills several files.
     """
@@ -74,7 +77,7 @@ def write_history(rows: DataFrame, path: str, files_per_day: int = 8) -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(_STORED).parquet(path)
 
 
 def append_history(incoming: DataFrame, path: str) -> None:

@@ -38,5 +38,4 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = os.path.join(tempfile.gettempdir(), "palaver-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/palaver/{purpose}-{uuid.uuid4().hex}"

@@ -67,7 +67,9 @@ def start_history_writer(payloads: DataFrame, path: str, checkpoint: str, every:
     events = persistable(decode_events(payloads))
 
     def store(batch: DataFrame, _: int) -> None:
-        append_history(to_history(batch), path)
+        rows = to_history(batch).persist()
+        append_history(rows, path)
+        rows.unpersist()
 
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()

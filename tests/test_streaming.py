@@ -1,0 +1,166 @@
+"""Streams over small files, one file a batch, so that order and lateness are under control."""
+
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from palaver.operators import abuse, analytics
+from palaver.operators.admission import gate_rolling
+from palaver.operators.decode import encode_events
+from palaver.operators.history import read_history
+from palaver.operators.presence import online_intervals
+from palaver.schemas import CHAT_EVENT, MEMBERSHIP, PRESENCE_EVENT
+from palaver.operators.delivery import fan_out, fan_out_stream
+from palaver.operators.presence import online_intervals_stream
+from palaver.sources.events import read_files, read_payload_files
+from palaver.sources.sinks import start_file_sink
+from palaver.streaming.ordered import gate_rolling_stream, presence_stream
+from palaver.streaming.pipelines import (
+    alerts_stream, analytics_stream, dedupe_stream, late_rows, start_chat_jobs, start_history_writer, with_event_time,
+)
+from conftest import START, at
+from test_gates import random_calls
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    """Writes each frame as one file, older first, and opens them as a stream of one file a batch."""
+    def build(frames, schema=CHAT_EVENT):
+        folder = tmp_path / f"in-{uuid.uuid4().hex}"
+        for frame in frames:
+            frame.coalesce(1).write.mode("append").parquet(str(folder))
+        return read_files(spark, str(folder), schema, streaming=True, max_files_per_trigger=1)
+
+    return build
+
+
+@pytest.fixture
+def drain(spark, tmp_path):
+    def run(rows):
+        name = uuid.uuid4().hex
+        query = start_file_sink(rows, str(tmp_path / name / "out"), str(tmp_path / name / "state"), every=None)
+        query.awaitTermination()
+        run.dropped = sum(
+            op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"]
+        )
+        return spark.read.schema(rows.schema).parquet(str(tmp_path / name / "out"))
+
+    return run
+
+
+def test_analytics_equal_the_batch_for_closed_windows(chat, feed, drain):
+    events = chat([(f"u{n % 5}", f"s{n % 3}", (n * 7) % 300, "text") for n in range(200)] + [("end", "s", 500)])
+    closed = lambda rows: sorted(rows.filter(F.col("window_end") <= F.lit(at(495))).collect())
+    found = drain(analytics_stream(feed([events.filter("sender_id != 'end'"), events.filter("sender_id = 'end'")]), 60))
+    assert sorted(found.collect()) == closed(analytics.scope_analytics(events, 60))
+
+
+def test_sliding_analytics_on_a_stream(chat, feed, drain):
+    events = chat([(f"u{n % 5}", f"s{n % 3}", (n * 7) % 120, "text") for n in range(60)] + [("end", "s", 500)])
+    found = drain(analytics_stream(feed([events.filter("sender_id != 'end'"), events.filter("sender_id = 'end'")]), 60, 20))
+    expected = analytics.scope_analytics(events, 60, 20).filter(F.col("window_end") <= F.lit(at(495)))
+    assert sorted(found.collect()) == sorted(expected.collect())
+
+
+def test_late_rows_are_dropped_and_counted(chat, feed, drain):
+    """A batch judges lateness by the watermark the batch before it started with."""
+    first, second = chat([("a", "s", 58), ("a", "s", 70)]), chat([("b", "s", 66)])
+    third = chat([("c", "s", 30), ("a", "s", 200)])
+    found = drain(analytics_stream(feed([first, second, third]), 60))
+    counts = {r.window_start: r.message_count for r in found.collect()}
+    assert counts == {at(0).replace(tzinfo=None): 1, at(60).replace(tzinfo=None): 2}
+    assert drain.dropped == 1
+    assert [r.sender_id for r in late_rows(third, at(65)).collect()] == ["c"]
+
+
+def test_alerts(chat, feed, drain):
+    events = chat([("a", "s", n * 0.1) for n in range(120)] + [("end", "s", 900)])
+    found = drain(alerts_stream(feed([events]), 60, 10))
+    expected = abuse.detect_alerts(events, 60, 10)
+    assert sorted(found.collect()) == sorted(expected.collect())
+    with pytest.raises(ValueError):
+        alerts_stream(events, warning=100, throttle=80)
+
+
+def test_dedupe(chat, feed, drain):
+    events = chat([("a", "s", 0), ("b", "s", 1)])
+    found = drain(dedupe_stream(with_event_time(feed([events, events, events]))))
+    assert sorted(found.collect()) == sorted(events.collect())
+
+
+def test_gate_decides_in_event_order_whatever_the_arrival(chat, feed, drain):
+    events = chat([(u, s, t % 60) for u, s, t in random_calls(9, 150, 3, 600)] + [("end", "s", 500)])
+    early = events.filter("pmod(hash(message_id), 2) = 0 and sender_id != 'end'")
+    later = events.filter("pmod(hash(message_id), 2) = 1 and sender_id != 'end'")
+    stream = feed([early, later, events.filter("sender_id = 'end'")])
+    found = drain(gate_rolling_stream(with_event_time(stream, "2 minutes"), 3, 7))
+    expected = gate_rolling(events, 3, 7).filter("sender_id != 'end'")
+    pick = lambda rows: {(r.message_id, r.allowed) for r in rows.collect()}
+    assert pick(found) == pick(expected) and found.count() == 150
+
+
+def test_gate_keeps_its_counter_between_batches(chat, feed, drain):
+    events = chat([("a", "s", 0), ("a", "s", 20), ("a", "s", 40), ("a", "s", 100), ("a", "s", 300)])
+    frames = [events.filter(F.col("message_id") == f"m{n:04d}") for n in range(5)]
+    found = {r.message_id: r.allowed for r in drain(gate_rolling_stream(with_event_time(feed(frames)), 2, 60)).collect()}
+    assert found == {"m0000": True, "m0001": True, "m0002": False, "m0003": True}
+
+
+def presence_rows(spark, rows):
+    return spark.createDataFrame([(u, "p", c, kind, at(s)) for u, c, kind, s in rows], PRESENCE_EVENT)
+
+
+def test_presence_changes(spark, feed, drain):
+    rows = [("u", "a", "online", 0), ("u", "b", "online", 10), ("u", "a", "offline", 20), ("u", "b", "heartbeat", 30),
+            ("u", "a", "online", 200), ("u", "a", "offline", 210), ("end", "x", "online", 400)]
+    frames = [presence_rows(spark, rows[n:n + 2]) for n in range(0, len(rows), 2)]
+    found = drain(presence_stream(with_event_time(feed(frames, PRESENCE_EVENT), time="ts"))).filter("user_id = 'u'")
+    changes = sorted((int(r.changed_at.timestamp() - START.timestamp()), r.connections, r.is_online) for r in found.collect())
+    assert changes == [(0, 1, True), (10, 2, True), (20, 1, True), (90, 0, False), (200, 1, True), (210, 0, False)]
+
+
+def test_online_intervals(spark, feed, drain):
+    rows = presence_rows(spark, [("u", "a", "online", s) for s in (0, 30, 200)] + [("u", "a", "offline", 40),
+                                                                                    ("end", "x", "online", 900)])
+    found = drain(online_intervals_stream(with_event_time(feed([rows], PRESENCE_EVENT), time="ts")))
+    expected = online_intervals(rows).filter("user_id = 'u'")
+    assert sorted(found.collect()) == sorted(expected.collect())
+
+
+def test_fan_out(spark, chat, feed, drain):
+    messages = chat([("a", "x", 5), ("a", "x", 15), ("a", "y", 5), ("a", "x", 5, "hi", "DirectMessage")])
+    members = spark.createDataFrame([("Channel", "x", "u1", at(0), at(10)), ("Channel", "x", "u2", at(0), None)], MEMBERSHIP)
+    pairs = fan_out_stream(with_event_time(feed([messages])), with_event_time(feed([members], MEMBERSHIP), time="joined_at"))
+    pick = lambda rows: {(r.message_id, r.user_id) for r in rows.collect()}
+    assert pick(drain(pairs)) == pick(fan_out(messages, members)) == {("m0000", "u1"), ("m0000", "u2"), ("m0001", "u2")}
+
+
+def payload_feed(spark, folder, frames):
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").text(folder)
+    return read_payload_files(spark, folder, streaming=True, max_files_per_trigger=1)
+
+
+def test_jobs_from_payloads(spark, chat, tmp_path):
+    events = chat([("a", "s", n * 0.1) for n in range(90)] + [("end", "s", 900)])
+    bad = spark.createDataFrame([("{",), ("null",)], "value string")
+    payloads = payload_feed(spark, str(tmp_path / "in"), [encode_events(events).select("value"), bad])
+    jobs = start_chat_jobs(payloads, lambda rows, name: start_file_sink(
+        rows, str(tmp_path / name), str(tmp_path / f"{name}-state"), "json", every=None))
+    for job in jobs.values():
+        job.awaitTermination()
+    stored = {name: spark.read.schema("key string, value string, reason string").json(str(tmp_path / name)).collect()
+              for name in jobs}
+    assert [r.key for r in stored["analytics"]] == ["s"]
+    assert {r.key for r in stored["rate_limits"]} == {"a"} and '"eventType":"Warning"' in stored["rate_limits"][0].value
+    assert sorted(r.reason for r in stored["quarantine"]) == ["bad_json", "null_event"]
+
+
+def test_history_writer_stores_each_message_once(spark, chat, tmp_path):
+    events = chat([("a", "s", n, f"text {n}") for n in range(5)] + [("a", "s", 9, "  ")])
+    values = encode_events(events).select("value")
+    payloads = payload_feed(spark, str(tmp_path / "in"), [values, values])
+    start_history_writer(payloads, str(tmp_path / "history"), str(tmp_path / "state")).awaitTermination()
+    stored = read_history(spark, str(tmp_path / "history"))
+    assert sorted(r.text for r in stored.collect()) == [f"text {n}" for n in range(5)]
