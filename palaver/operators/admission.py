@@ -144,8 +144,7 @@ def _fold_batches(
         users, chunks = batch.column(user), batch.column("_chunk")
         times = pc.cast(batch.column(time), pa.int64()).to_numpy(zero_copy_only=False)
         counted = batch.column("_counts").to_numpy(zero_copy_only=False)
-        entry_count = batch.column("_entry_count").to_numpy(zero_copy_only=False)
-        entry_last = batch.column("_entry_last").to_numpy(zero_copy_only=False)
+        is_call = batch.column("_is_call")
         changed = pc.or_(
             pc.fill_null(pc.not_equal(users[1:], users[:-1]), True), pc.not_equal(chunks[1:], chunks[:-1])
         ).to_numpy(zero_copy_only=False)
@@ -154,15 +153,17 @@ def _fold_batches(
         for start, stop in zip(edges, edges[1:]):
             group = (users[start].as_py(), chunks[start].as_py())
             if group != current:
-                current, count, last = group, int(entry_count[start]), int(entry_last[start])
+                current, count, last = group, 0, 0
+                if not is_call[start].as_py():
+                    count, last = batch.column("_entry_count")[start].as_py(), batch.column("_entry_last")[start].as_py()
             rows = start + np.flatnonzero(counted[start:stop])
             allowed[rows], count, last = fold_calls(times[rows], count, last, limit, window)
         names = [name for name in batch.schema.names if name not in _WORK_COLUMNS]
         columns = [batch.column(name) for name in names] + [pa.array(allowed)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, "allowed"])
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, "allowed"]).filter(is_call)
 
 
-_WORK_COLUMNS = ("_chunk", "_counts", "_entry_count", "_entry_last")
+_WORK_COLUMNS = ("_chunk", "_counts", "_is_call", "_entry_count", "_entry_last")
 
 _TABLE_SCHEMA = (
     "first_time long, start_time array<long>, start_count array<int>, start_last array<long>, "
@@ -294,11 +295,14 @@ def gate_rolling(
     entries = _chunk_entries(
         chunked.filter(F.col("_counts") & (F.col("_chunk") >= 0)), user, time, limit, window
     )
+    # The entries travel as rows ahead of their chunk's calls: one shuffle brings both together.
     ready = (
-        chunked.drop("_chunk_micros").join(entries, [user, "_chunk"], "left")
-        .fillna({"_entry_count": 0, "_entry_last": 0})
+        chunked.drop("_chunk_micros").withColumn("_is_call", F.lit(True))
+        .unionByName(
+            entries.withColumns({"_is_call": F.lit(False), "_counts": F.lit(False)}), allowMissingColumns=True
+        )
         .repartition(user, "_chunk")
-        .sortWithinPartitions(user, "_chunk", time, row_id)
+        .sortWithinPartitions(user, "_chunk", "_is_call", time, row_id)
     )
     out = [name for name in ready.columns if name not in _WORK_COLUMNS]
     schema = T.StructType([*ready.select(*out).schema.fields, T.StructField("allowed", T.BooleanType(), True)])

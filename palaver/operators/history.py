@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from palaver.functions.scope import parse_scope_key, scope_key
-from palaver.operators.skew import exact_quantiles
 from palaver.schemas import HISTORY_ROW
 
 KEY = ("scope_key", "created_at", "message_id")
@@ -160,15 +159,20 @@ def scope_sizes(rows: DataFrame, wide_rows: int = WIDE_SCOPE_ROWS) -> DataFrame:
 
 
 def scope_size_distribution(rows: DataFrame, wide_rows: int = WIDE_SCOPE_ROWS) -> DataFrame:
-    """How scope sizes are spread, in one row."""
-    sizes = scope_sizes(rows, wide_rows).withColumn("all", F.lit(1))
-    totals = sizes.groupBy("all").agg(
-        F.count(F.lit(1)).alias("scopes"), F.sum("rows").alias("total_rows"), F.max("rows").alias("max_rows"),
-        F.count_if("is_wide").alias("wide_scopes"),
+    """How scope sizes are spread, in one row.
+
+    Scopes are counted per size first. Different sizes are few (at most the root of twice the rows), so the
+    last step sees a small table.
+    """
+    sizes = scope_sizes(rows, wide_rows).groupBy("rows", "is_wide").agg(F.count(F.lit(1)).alias("scopes"))
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return sizes.agg(
+        F.sum("scopes").alias("scopes"),
+        F.sum(F.col("rows") * F.col("scopes")).alias("total_rows"),
+        F.max("rows").alias("max_rows"),
+        F.sum(F.when(F.col("is_wide"), F.col("scopes")).otherwise(0)).alias("wide_scopes"),
+        *[F.percentile("rows", p, F.col("scopes")).alias(name) for name, p in points.items()],
     )
-    spread = exact_quantiles(sizes.withColumn("rows", F.col("rows").cast("double")), ["all"], "rows",
-                             {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    return totals.join(spread, "all").drop("all")
 
 
 def time_bucket_sizes(rows: DataFrame, bucket: str = "day") -> DataFrame:

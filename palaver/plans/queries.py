@@ -406,10 +406,8 @@ def partition_counts(spark, sf_dir):
 @query
 def ordering_audit(spark, sf_dir):
     """Messages reach the broker ``value`` minutes after they were written, so some overtake others."""
-    rows = views.events(spark, sf_dir)
     delay = F.make_dt_interval(mins=F.col("value").cast("int"))
-    arrivals = rows.select(F.col("event_id").cast("string").alias("message_id"), (F.col("ts") + delay).alias("arrived_at"))
-    sent = views.chat_events(spark, sf_dir).join(arrivals, "message_id")
+    sent = views.as_chat_events(views.events(spark, sf_dir), (F.col("ts") + delay).alias("arrived_at"))
     return delivery.ordering_audit(delivery.assign_offsets(sent, arrival="arrived_at"))
 
 

@@ -5,7 +5,7 @@ Each view exists twice, here in Spark and in ``oracles`` as SQL. All of a table'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from palaver.functions.ids import stable_uuid
 from palaver.functions.times import iso_micros
@@ -26,8 +26,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMOJI_BY_EVENT = {"purchase": "\U0001F389", "signup": "\U0001F44B", "error": "⚠"}
 
 
-def as_chat_events(rows: DataFrame) -> DataFrame:
-    """Rows of ``events`` as chat messages."""
+def as_chat_events(rows: DataFrame, *more: Column) -> DataFrame:
+    """Rows of ``events`` as chat messages, with ``more`` columns of those rows."""
     kind = F.col("event_type")
     emoji = F.lit("")
     for name, symbol in EMOJI_BY_EVENT.items():
@@ -40,6 +40,7 @@ def as_chat_events(rows: DataFrame) -> DataFrame:
         F.concat(kind, F.lit(":"), F.col("props"), emoji).alias("text"),
         F.col("ts").alias("created_at"),
         F.concat(F.lit("pod-"), F.col("event_id") % 3).alias("origin_pod_id"),
+        *more,
     )
 
 
