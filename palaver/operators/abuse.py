@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palaver.functions.ids import stable_uuid
 from palaver.functions.scope import parse_scope_key_leniently
-from palaver.functions.times import seconds_text
+from palaver.functions.times import add_seconds, seconds_text
 from palaver.operators.analytics import check_window
 
 DETECTOR_TASK_ID = "palaver-abuse"
@@ -132,7 +132,8 @@ def detect_alerts(
     check_thresholds(warning, throttle, flag)
     window = F.window("created_at", seconds_text(window_seconds), seconds_text(slide_seconds))
     rates = (
-        events.groupBy(window.alias("window"), F.col("sender_id").alias("user_id"))
+        events.select("sender_id", "created_at", window.alias("window"))
+        .groupBy(F.col("window.start").alias("window_start"), F.col("sender_id").alias("user_id"))
         .agg(
             F.count(F.lit(1)).alias("message_count"),
             F.min("created_at").alias("first_event_at"),
@@ -144,7 +145,7 @@ def detect_alerts(
         thresholds = {"Flag": F.lit(flag), "Throttle": F.lit(throttle), "Warning": F.lit(warning)}
     else:
         rates, thresholds = _with_policies(rates, policies, "user_id", warning, throttle, flag)
-        # A policy's levels need not rise, so any of them may be the lowest.
+    # The levels of a policy need not rise, so any of them may be the lowest.
     lowest = F.least(*thresholds.values())
     reached = rates.filter(F.col("message_count") >= lowest)
     openings = events.select(
@@ -155,8 +156,8 @@ def detect_alerts(
         reached.join(openings, ["user_id", "first_event_at"])
         .groupBy(*reached.columns).agg(F.min("_opening").alias("_opening"))
         .select(
-            *[name for name in reached.columns if name != "window"],
-            F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+            *reached.columns,
+            add_seconds(F.col("window_start"), window_seconds).alias("window_end"),
             F.col("_opening.scope").alias("first_scope"),
         )
     )

@@ -366,6 +366,10 @@ ORACLES["admission_outcome_rolling"] = f"""WITH RECURSIVE {CHECKED},
 ORACLES["gate_fixed"] = f"""WITH {CHAT}
 SELECT message_id, sender_id, row_number() OVER (PARTITION BY sender_id, {window_start('created_at', DAY)}
   ORDER BY created_at, message_id) <= 3 AS allowed FROM chat"""
+ORACLES["stream_gate_fixed"] = f"""WITH {CHAT},
+gated AS (SELECT *, row_number() OVER (PARTITION BY sender_id, {window_start('created_at', DAY)}
+  ORDER BY created_at, message_id) <= 3 AS allowed FROM chat)
+SELECT sender_id, message_id, {iso('created_at')} AS created_at, allowed FROM gated WHERE created_at <= {WATERMARK}"""
 ORACLES["gate_rolling"] = f"""WITH RECURSIVE {CHAT}, {rolling('chat', 'created_at', 3, DAY)}
 SELECT message_id, sender_id, allowed FROM gated"""
 ORACLES["stream_gate_rolling"] = f"""WITH RECURSIVE {CHAT}, {rolling('chat', 'created_at', 3, DAY)}

@@ -6,16 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.operators import abuse, analytics
-from palaver.operators.admission import gate_rolling
+from palaver.operators.admission import gate_fixed, gate_rolling
 from palaver.operators.decode import encode_events
+from palaver.operators.delivery import fan_out, fan_out_stream
 from palaver.operators.history import read_history
-from palaver.operators.presence import online_intervals
+from palaver.operators.presence import online_intervals, online_intervals_stream
 from palaver.schemas import CHAT_EVENT, MEMBERSHIP, PRESENCE_EVENT
-from palaver.operators.delivery import fan_out, fan_out_stream
-from palaver.operators.presence import online_intervals_stream
 from palaver.sources.events import read_files, read_payload_files
 from palaver.sources.sinks import start_file_sink
-from palaver.streaming.ordered import gate_rolling_stream, presence_stream
+from palaver.streaming.ordered import gate_fixed_stream, gate_rolling_stream, presence_stream
 from palaver.streaming.pipelines import (
     alerts_stream, analytics_stream, dedupe_stream, late_rows, start_chat_jobs, start_history_writer, with_event_time,
 )
@@ -100,6 +99,25 @@ def test_gate_decides_in_event_order_whatever_the_arrival(chat, feed, drain):
     assert pick(found) == pick(expected) and found.count() == 150
 
 
+def test_fixed_gate_on_a_stream(chat, feed, drain):
+    events = chat([(u, s, t % 200) for u, s, t in random_calls(5, 150, 3, 600)] + [("end", "s", 900)])
+    early = events.filter("pmod(hash(message_id), 2) = 0 and sender_id != 'end'")
+    later = events.filter("pmod(hash(message_id), 2) = 1 and sender_id != 'end'")
+    frames = [early, later, events.filter("sender_id = 'end'")]
+    found = drain(gate_fixed_stream(with_event_time(feed(frames), "5 minutes"), 4, 60))
+    expected = gate_fixed(events, 4, 60).filter("sender_id != 'end'")
+    pick = lambda rows: {(r.message_id, r.allowed) for r in rows.collect()}
+    assert pick(found) == pick(expected) and found.count() == 150
+
+
+def test_policies_on_a_stream(spark, chat, feed, drain):
+    events = chat([("a", "s", n) for n in range(5)] + [("b", "s", n) for n in range(5)] + [("end", "s", 500)])
+    policies = spark.createDataFrame([("a", 2, 4, 50)], "user_id string, warning int, throttle int, flag int")
+    rates = abuse.user_rate(with_event_time(feed([events])), 60, 60)
+    found = drain(abuse.rate_alerts_by_policy(rates, policies))
+    assert {(r.user_id, r.event_type) for r in found.collect()} == {("a", "Warning"), ("a", "Throttle")}
+
+
 def test_gate_keeps_its_counter_between_batches(chat, feed, drain):
     events = chat([("a", "s", 0), ("a", "s", 20), ("a", "s", 40), ("a", "s", 100), ("a", "s", 300)])
     frames = [events.filter(F.col("message_id") == f"m{n:04d}") for n in range(5)]
