@@ -165,12 +165,6 @@ def _fold_batches(
 
 _WORK_COLUMNS = ("_chunk", "_counts", "_is_call", "_entry_count", "_entry_last")
 
-_TABLE_SCHEMA = (
-    "first_time long, start_time array<long>, start_count array<int>, start_last array<long>, "
-    "carry_count array<int>, carry_last array<long>"
-)
-
-
 def chunk_table(times: np.ndarray, limit: int, window: int) -> dict:
     """The counter after a chunk of sorted calls, for every counter it may be entered with.
 
@@ -233,28 +227,69 @@ def apply_chunk(table: dict, count: int, last: int, limit: int, window: int) ->
     return count, last
 
 
+_FIRST, _CARRY, _START = 0, 1, 2
+
+
+def _as_rows(table: dict) -> pd.DataFrame:
+    """A chunk's table with one row per entry state."""
+    parts = [
+        (_FIRST, [table["first_time"]], [0], [0]),
+        (_CARRY, range(1, len(table["carry_count"]) + 1), table["carry_count"], table["carry_last"]),
+        (_START, table["start_time"], table["start_count"], table["start_last"]),
+    ]
+    return pd.concat([
+        pd.DataFrame({"kind": kind, "at": list(at), "count": counts, "last": lasts}, dtype="int64")
+        for kind, at, counts, lasts in parts
+    ])
+
+
+def _as_table(rows: pd.DataFrame) -> dict:
+    carry, start = rows[rows["kind"] == _CARRY], rows[rows["kind"] == _START]
+    return {
+        "first_time": int(rows["at"].iloc[0]),
+        "start_time": start["at"].to_numpy(), "start_count": start["count"].to_numpy(),
+        "start_last": start["last"].to_numpy(), "carry_count": carry["count"].to_numpy(),
+        "carry_last": carry["last"].to_numpy(),
+    }
+
+
+def _chain(frames: Iterator[pd.DataFrame], user: str, limit: int, window: int) -> Iterator[pd.DataFrame]:
+    """The entry state of each chunk from sorted table rows; only one chunk's table is held."""
+    names = [user, "_chunk", "_entry_count", "_entry_last"]
+    current, pieces, count, last = None, [], 0, 0
+    for frame in frames:
+        entries = []
+        for key, piece in frame.groupby([user, "_chunk"], sort=False, dropna=False):
+            if key != current:
+                if current is not None:
+                    count, last = apply_chunk(_as_table(pd.concat(pieces)), count, last, limit, window)
+                    if key[0] != current[0]:
+                        count, last = 0, 0
+                entries.append((*key, count, last))
+                current, pieces = key, []
+            pieces.append(piece)
+        yield pd.DataFrame(entries, columns=names)
+
+
 def _chunk_entries(keys: DataFrame, user: str, time: str, limit: int, window: int) -> DataFrame:
     """The counter each chunk of a hot user is entered with."""
-    user_type = keys.schema[user].dataType.simpleString()
+    key_schema = f"{user} {keys.schema[user].dataType.simpleString()}, _chunk long"
 
     def tabulate(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        table = chunk_table(np.sort(frame["_micros"].to_numpy()), limit, window)
-        return pd.DataFrame([{user: key[0], "_chunk": key[1], **table}])
+        rows = _as_rows(chunk_table(np.sort(frame["_micros"].to_numpy()), limit, window))
+        rows.insert(0, "_chunk", key[1])
+        rows.insert(0, user, key[0])
+        return rows
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        count, last, entries = 0, 0, []
-        for row in frame.sort_values("_chunk").to_dict("records"):
-            entries.append((row[user], row["_chunk"], count, last))
-            count, last = apply_chunk(row, count, last, limit, window)
-        return pd.DataFrame(entries, columns=[user, "_chunk", "_entry_count", "_entry_last"])
-
-    tables = (
+    return (
         keys.select(user, "_chunk", F.unix_micros(time).alias("_micros"))
         .groupBy(user, "_chunk")
-        .applyInPandas(tabulate, f"{user} {user_type}, _chunk long, {_TABLE_SCHEMA}")
-    )
-    return tables.groupBy(user).applyInPandas(
-        chain, f"{user} {user_type}, _chunk long, _entry_count int, _entry_last long"
+        .applyInPandas(tabulate, f"{key_schema}, kind long, at long, count long, last long")
+        .repartition(user)
+        .sortWithinPartitions(user, "_chunk", "kind", "at")
+        .mapInPandas(
+            lambda frames: _chain(frames, user, limit, window), f"{key_schema}, _entry_count int, _entry_last long"
+        )
     )
 
 
@@ -267,7 +302,7 @@ def gate_rolling(
     row_id: str = "message_id",
     counted: Column | None = None,
     chunk_rows: int = 1_000_000,
-    windows_per_chunk: int = 16,
+    windows_per_chunk: int = 128,
 ) -> DataFrame:
     """Adds ``allowed`` by a per-user counter whose expiry each allowed call renews. Batch.
 
