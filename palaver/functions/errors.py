@@ -43,13 +43,16 @@ def _lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def status_of_exception(exception_type: Column) -> Column:
-    """Status, title, detail, RFC section, server-error mark and log level of an exception type."""
+def status_of_exception(exception_type: Column, message: Column | None = None) -> Column:
+    """Status, title, detail, RFC section, server-error mark and log level of an exception type.
+
+    With ``message`` (development) the detail is the exception's own text instead of the public one.
+    """
     status = F.coalesce(_lookup(exception_type, STATUS_BY_EXCEPTION), F.lit(DEFAULT_STATUS))
     return F.struct(
         status.alias("status"),
         _lookup(status, TITLE).alias("title"),
-        _lookup(status, DETAIL).alias("detail"),
+        (_lookup(status, DETAIL) if message is None else message).alias("detail"),
         _lookup(status, RFC_SECTION).alias("rfc_section"),
         (status >= 500).alias("is_server_error"),
         F.when(status >= 500, "Error").otherwise("Warning").alias("log_level"),

@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
-BLANK_PATTERN = r"^[\t\n\x0B\f\r\x{85}\p{Z}]*$"
+# Matches at the first character that is no white space.
+SOLID_PATTERN = r"[^\t\n\x0B\f\r\x{85}\p{Z}]"
 
 
 def utf16_length(text: Column) -> Column:
@@ -14,7 +15,7 @@ def utf16_length(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Null, empty or nothing but white space."""
-    return F.coalesce(text.rlike(BLANK_PATTERN), F.lit(True))
+    return ~F.coalesce(text.rlike(SOLID_PATTERN), F.lit(False))
 
 
 def preview_bytes(payload: Column, limit: int = 256) -> Column:

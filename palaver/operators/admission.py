@@ -155,7 +155,8 @@ def _fold_batches(
             if group != current:
                 current, count, last = group, 0, 0
                 if not is_call[start].as_py():
-                    count, last = batch.column("_entry_count")[start].as_py(), batch.column("_entry_last")[start].as_py()
+                    count = batch.column("_entry_count")[start].as_py()
+                    last = batch.column("_entry_last")[start].as_py()
             rows = start + np.flatnonzero(counted[start:stop])
             allowed[rows], count, last = fold_calls(times[rows], count, last, limit, window)
         names = [name for name in batch.schema.names if name not in _WORK_COLUMNS]

@@ -63,14 +63,14 @@ def with_layout(rows: DataFrame, bucket: str | None = None) -> DataFrame:
     return laid if bucket is None else laid.withColumn("time_bucket", F.date_trunc(bucket, "created_at"))
 
 
-def write_history(rows: DataFrame, path: str, files_per_day: int = 8) -> None:
-    """Append history rows as Parquet by day, each file sorted by the history key.
+def write_history(rows: DataFrame, path: str) -> None:
+    """Append history rows as Parquet by day, clustered and sorted by the history key.
 
-    Within a day rows are spread by scope and a hash of the message, so a busy scope fills several files.
+    Rows are partitioned by ranges of (day, key): tasks are of even size however rows are spread over days and
+    scopes, and a scope's messages of a day lie in few files, which a lookup finds by their statistics.
     """
-    spread = F.pmod(F.xxhash64("scope_key", "message_id"), F.lit(files_per_day))
     (
-        with_layout(rows).repartition("day", spread).sortWithinPartitions("day", *KEY)
+        with_layout(rows).repartitionByRange("day", *KEY).sortWithinPartitions("day", *KEY)
         .write.mode("append").partitionBy("day").parquet(path)
     )
 
@@ -211,7 +211,8 @@ def by_message_id(rows: DataFrame, buckets: int = 256) -> DataFrame:
 
 def write_by_message_id(rows: DataFrame, path: str, buckets: int = 256) -> None:
     (
-        by_message_id(rows, buckets).repartition("id_bucket").sortWithinPartitions("id_bucket", "message_id")
+        by_message_id(rows, buckets).repartitionByRange("id_bucket", "message_id")
+        .sortWithinPartitions("id_bucket", "message_id")
         .write.mode("append").partitionBy("id_bucket").parquet(path)
     )
 

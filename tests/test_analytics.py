@@ -75,6 +75,14 @@ def test_both_alert_paths_agree(chat):
     assert sorted(one) == sorted(two) and one
 
 
+def test_alerts_are_the_union_of_the_levels(chat):
+    rates = abuse.user_rate(chat([("a", "s", n * 0.01) for n in range(150)]), 60, 60)
+    alerts = abuse.rate_alerts(rates)
+    by_level = [alerts.filter(F.col("event_type") == level) for level in abuse.LEVEL_CONTEXT]
+    assert sorted(by_level[0].unionByName(by_level[1]).unionByName(by_level[2]).collect()) == sorted(alerts.collect())
+    assert [rows.count() for rows in by_level] == [0, 1, 1]
+
+
 def test_scopes_behind_a_rate(chat):
     rows = chat([("a", "s", 0), ("a", "t", 1), ("a", "t", 2)])
     found = {(r.scope_id, r.message_count) for r in abuse.user_rate_scopes(rows, 60, 60).collect()}

@@ -111,4 +111,6 @@ def test_exceptions(spark):
                         is_transient_error(F.col("t"), F.col("m"), F.col("i")).alias("again")).collect()
     assert [r.s.status for r in found] == [504, 400, 500, 500, 500]
     assert [r.s.log_level for r in found] == ["Error", "Warning", "Error", "Error", "Error"]
+    told = rows.select(status_of_exception(F.col("t"), F.col("m"))["detail"].alias("d")).first()
+    assert told.d == "x"
     assert [r.again for r in found] == [True, True, True, False, False]
