@@ -501,6 +501,34 @@ SELECT user_id, {iso('f')} AS online_from, {iso('u')} AS online_until, beats FRO
 ORACLES["online_intervals"] = f"WITH {INTERVALS}"
 ORACLES["stream_online_intervals"] = f"WITH {INTERVALS} WHERE u <= {WATERMARK}"
 
+# Each user's connections event by event; a user whose expiry has come loses all of them.
+ORACLES["stream_presence"] = f"""WITH RECURSIVE {PRESENCE},
+ordered AS (
+  SELECT user_id, ts, kind = 'offline' AS off, pod_id || ':' || connection_id AS member,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, kind = 'offline', pod_id || ':' || connection_id) AS k
+  FROM presence WHERE ts <= {WATERMARK}),
+steps AS (
+  SELECT user_id, k, ts, CASE WHEN off THEN CAST([] AS VARCHAR[]) ELSE [member] END AS members,
+    CASE WHEN off THEN NULL ELSE ts + INTERVAL 1 DAY END AS expires, CAST(NULL AS TIMESTAMP) AS gone_at, 0 AS before
+  FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, ts,
+    CASE WHEN off THEN list_filter(base, lambda m: m <> member) ELSE list_distinct(list_append(base, member)) END,
+    CASE WHEN off THEN expires ELSE ts + INTERVAL 1 DAY END,
+    CASE WHEN len(members) > 0 AND expires <= ts THEN expires END, len(base)
+  FROM (
+    SELECT o.*, s.members, s.expires,
+      CASE WHEN len(s.members) > 0 AND s.expires <= o.ts THEN CAST([] AS VARCHAR[]) ELSE s.members END AS base
+    FROM steps s JOIN ordered o ON o.user_id = s.user_id AND o.k = s.k + 1)),
+changes AS (
+  SELECT user_id, gone_at AS at_time, 0 AS n FROM steps WHERE gone_at IS NOT NULL
+  UNION ALL
+  SELECT user_id, ts, len(members) FROM steps WHERE len(members) <> before
+  UNION ALL
+  SELECT user_id, expires, 0 FROM steps WHERE len(members) > 0 AND expires <= {WATERMARK}
+    AND k = (SELECT max(k) FROM ordered o WHERE o.user_id = steps.user_id))
+SELECT user_id, {iso('at_time')} AS changed_at, CAST(n AS INTEGER) AS connections, n > 0 AS is_online FROM changes"""
+
 
 # --- logs
 

@@ -10,8 +10,19 @@ from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE_DIR), reason="the given tables are not here")
 
-# Plain rows, estimates, and a log of state changes: no SQL gives these.
-WITHOUT_SQL = {"browse", "scope_analytics_approx", "latency_summary_approx", "stream_presence"}
+# Any rows, and estimates: no SQL gives these.
+WITHOUT_SQL = {"browse", "scope_analytics_approx", "latency_summary_approx"}
+
+# Queries with joins, run once more with all joins shuffled and skewed partitions split.
+JOINING = ["rate_alerts_by_policy", "admission_outcome", "gate_rolling", "append_history", "fan_out",
+           "fan_out_counts", "undelivered", "assign_offsets", "latency_summary"]
+SHUFFLED = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.01",
+}
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +42,17 @@ def test_every_query_has_sql_but_the_known():
     assert set(oracle_sql()) <= set(queries())
 
 
+@pytest.mark.parametrize("name", JOINING)
+def test_query_without_broadcasts(spark, sql, name):
+    try:
+        for key, value in SHUFFLED.items():
+            spark.conf.set(key, value)
+        test_query(spark, sql, name)
+    finally:
+        for key in SHUFFLED:
+            spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query(spark, sql, name):
     found = queries()[name](spark, SMOKE_DIR)
