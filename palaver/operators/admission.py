@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,22 +116,19 @@ def gate_fixed(
 
 def fold_calls(times: np.ndarray, count: int, last: int, limit: int, window: int) -> tuple[np.ndarray, int, int]:
     """Which of the sorted calls pass, and the counter (count, last allowed time) after them."""
-    size = len(times)
-    allowed = np.zeros(size, dtype=bool)
-    gaps = np.flatnonzero(np.diff(times) >= window) + 1
-    at = 0
-    while at < size:
-        if count and times[at] - last >= window:
+    calls = times.tolist()
+    allowed = np.zeros(len(calls), dtype=bool)
+    passed, at = [], 0
+    while at < len(calls):
+        time = calls[at]
+        if count and time - last >= window:
             count = 0
         if count < limit:
-            stop = min(at + limit - count, size)
-            gap = np.searchsorted(gaps, at, side="right")
-            if gap < len(gaps) and gaps[gap] < stop:
-                stop = int(gaps[gap])
-            allowed[at:stop] = True
-            count, last, at = count + stop - at, int(times[stop - 1]), stop
+            passed.append(at)
+            count, last, at = count + 1, time, at + 1
         else:
-            at = max(at + 1, int(np.searchsorted(times, last + window, side="left")))
+            at = bisect_left(calls, last + window, at + 1)
+    allowed[passed] = True
     return allowed, count, last
 
 
