@@ -92,15 +92,17 @@ def gate_fixed(
         marked.filter("_counts").select(user, "_window", time, row_id)
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") == limit)
-        .select(user, "_window", F.col(time).alias("_cut_time"), F.col(row_id).alias("_cut_id"))
+        .select(F.col(user).alias("_cut_user"), F.col("_window").alias("_cut_window"),
+                F.col(time).alias("_cut_time"), F.col(row_id).alias("_cut_id"))
     )
+    same_window = F.col(user).eqNullSafe(F.col("_cut_user")) & (F.col("_window") == F.col("_cut_window"))
     within = F.col("_cut_time").isNull() | (F.col(time) < F.col("_cut_time")) | (
         (F.col(time) == F.col("_cut_time")) & (F.col(row_id) <= F.col("_cut_id"))
     )
     return (
-        marked.join(cuts, [user, "_window"], "left")
+        marked.join(cuts, same_window, "left")
         .withColumn("allowed", F.col("_counts") & within)
-        .drop("_window", "_counts", "_cut_time", "_cut_id")
+        .drop("_window", "_counts", "_cut_user", "_cut_window", "_cut_time", "_cut_id")
     )
 
 

@@ -106,6 +106,13 @@ def test_fixed_gate_sends_on_only_the_first_calls(chat):
     assert "WindowGroupLimit" in plan
 
 
+@pytest.mark.parametrize("gate", [gate_fixed, gate_rolling])
+def test_calls_without_a_user_share_a_counter(chat, gate):
+    events = chat([(None, "s", 0), (None, "s", 1), ("a", "s", 2), (None, "s", 3)])
+    found = {r.message_id: r.allowed for r in gate(events, 2, 60).collect()}
+    assert found == {"m0000": True, "m0001": True, "m0002": True, "m0003": False}
+
+
 @pytest.mark.parametrize("gate", [gate_fixed, gate_rolling])
 def test_bad_limits(chat, gate):
     with pytest.raises(ValueError):
