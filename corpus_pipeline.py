@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import decontaminate, language
+from palaver.llm import decontaminate, language, pieces
 from palaver.llm.common import prepare, shared_folder, table
+from palaver.llm.queries import MODEL
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SCORE = 0.3
@@ -29,9 +30,16 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return decontaminate.remove_contamination(found).select(*docs.columns)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ``ids`` of their texts."""
+    prepare(spark)
+    return pieces.encode(docs, pieces.Vocabulary.load(MODEL))
+
+
 STAGES = [
     ("language", identify_language),
     ("decontaminate", remove_benchmark),
+    ("pieces", encode_pieces),
 ]
 
 ORACLE_SQL = None

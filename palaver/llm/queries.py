@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import decontaminate, language
+from palaver.llm import decontaminate, language, pieces
 from palaver.llm.common import held_out, table
 
+# The tokenizer's file is the same on every machine.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -36,3 +39,13 @@ def op6_decontaminate(spark, sf_dir):
     names = F.array_sort(F.col("items").cast("array<string>"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(joined(names), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op10_pieces(spark, sf_dir):
+    vocabulary = pieces.Vocabulary.load(MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, vocabulary).withColumn("decoded", pieces.decode(F.col("ids"), vocabulary))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+                        F.sha2("decoded", 256).alias("decoded_sha256"),
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
