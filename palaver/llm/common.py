@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +55,11 @@ def utf8(texts: pa.Array) -> list[bytes | None]:
     return texts.cast(pa.binary() if not pa.types.is_large_string(texts.type) else pa.large_binary()).to_pylist()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once. A lambda works out anything else it refers to for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_share(column: Column, seed: int, share: float) -> Column:
     """A share of all keys, the same ones on every run."""
     return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))

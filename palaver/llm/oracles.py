@@ -39,3 +39,25 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit_words USING (row_id) LEFT JOIN hit_items USING (row_id)
 """
+
+ESCAPED = ("length({0}) + length({0}) - length(replace({0}, '\\', ''))"
+           + "".join(f" + (length({{0}}) - length(replace({{0}}, '{control}', ''))) // {len(control)}"
+                     for control in ("<s>", "[INST]", "[/INST]", "</s>", "<image>", "<audio>", "<document>")))
+
+ORACLES["op5_chat"] = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), measured AS (
+    SELECT *, role = 'assistant' AS trained,
+           {ESCAPED.format("role")} + {ESCAPED.format("text")} + 14 + CASE WHEN role = 'assistant' THEN 4 ELSE 0 END AS size
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (trained), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (trained), '')) AS loss_sha256,
+       (3 + sum(size))::BIGINT AS formatted_chars
+FROM measured GROUP BY conv_id
+"""

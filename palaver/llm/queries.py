@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import decontaminate, language, pieces
+from palaver.llm import chat, decontaminate, language, pieces, quality
 from palaver.llm.common import held_out, table
 
 # The tokenizer's file is the same on every machine.
@@ -21,8 +21,8 @@ def query(function):
     return function
 
 
-def joined(values):
-    return F.array_join(values, ",")
+def joined(values, between=","):
+    return F.array_join(values, between)
 
 
 @query
@@ -49,3 +49,24 @@ def op10_pieces(spark, sf_dir):
     return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                         F.sha2("decoded", 256).alias("decoded_sha256"),
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op5_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    done = chat.format_conversations(turns.unionByName(added))
+    turns_read, loss_read = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    lines = F.transform(turns_read, lambda one: F.concat(one["role"], F.lit("\n"), one["text"], F.lit("\n")))
+    loss = F.array_join(loss_read, "")
+    return done.select(
+        "conv_id", F.size(turns_read).cast("long").alias("n_turns"), F.sha2(joined(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).drop("text")
