@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -69,3 +70,19 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/palaver-llm"
+
+
+def keep(frame: DataFrame, name: str) -> DataFrame:
+    """Write a frame below the shared folder and read it back: its lineage ends there, and every executor sees it."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int) -> DataFrame:
+    """Left join where a key may hold a large share of the left rows: the right side, unique by key, is repeated for
+    each salt, and ``spread`` deals the left rows of a key over the salts."""
+    salt = fresh([*left.columns, *right.columns], "_salt")
+    many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [*keys, salt], "left").drop(salt)

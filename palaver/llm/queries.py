@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, language, pieces, quality
+from palaver.llm import chat, decontaminate, language, pieces, private, quality
 from palaver.llm.common import held_out, table
 
 # The tokenizer's file is the same on every machine.
@@ -70,3 +70,14 @@ def op5_chat(spark, sf_dir):
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query
+def op2_private(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private.find_private(docs)
+    spans = F.col("spans")
+    counts = [F.size(private.of_kinds(spans, kind)).cast("long").alias(f"n_{kind}") for kind in private.KINDS]
+    return found.select("doc_id", *counts,
+                        F.sha2(private.shown(private.of_kinds(spans, *private.KINDS)), 256).alias("base_sha256"),
+                        private.shown(spans).alias("spans"))
