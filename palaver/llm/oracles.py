@@ -61,3 +61,21 @@ SELECT conv_id, count(*) AS n_turns,
        (3 + sum(size))::BIGINT AS formatted_chars
 FROM measured GROUP BY conv_id
 """
+
+ORACLES["op8_warc"] = """
+WITH page AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
+), bits AS (
+    SELECT digest, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + value, 1), '' ORDER BY place) AS base32
+    FROM (
+        SELECT digest, place, list_sum(list_transform(range(0, 5), lambda k:
+                   (((strpos('0123456789abcdef', substr(digest, 1 + (5 * place + k) // 4, 1)) - 1)
+                     >> (3 - (5 * place + k) % 4)) & 1) << (4 - k)))::BIGINT AS value
+        FROM (SELECT DISTINCT digest FROM page), (SELECT unnest(range(0, 32)) AS place))
+    GROUP BY digest
+), latest AS (SELECT html, max(page_id) AS latest FROM page GROUP BY html)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, base32 AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM page JOIN bits USING (digest) JOIN latest USING (html)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, language, pieces, private, quality
+from palaver.llm import chat, decontaminate, language, pieces, private, quality, warc
 from palaver.llm.common import held_out, table
 
 # The tokenizer's file is the same on every machine.
@@ -81,3 +81,9 @@ def op2_private(spark, sf_dir):
     return found.select("doc_id", *counts,
                         F.sha2(private.shown(private.of_kinds(spans, *private.KINDS)), 256).alias("base_sha256"),
                         private.shown(spans).alias("spans"))
+
+
+@query
+def op8_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return warc.archive(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
