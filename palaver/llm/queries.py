@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, language, pieces, private, quality, warc
+from palaver.llm import chat, decontaminate, language, pieces, private, quality, toxicity, warc
 from palaver.llm.common import held_out, table
 
 # The tokenizer's file is the same on every machine.
@@ -87,3 +87,12 @@ def op2_private(spark, sf_dir):
 def op8_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return warc.archive(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                        F.size("segments").cast("long").alias("n_passages"))
