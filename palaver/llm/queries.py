@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, language, pieces, private, quality, toxicity, warc
+from palaver.llm import chat, decontaminate, html_text, language, pieces, private, quality, toxicity, warc
 from palaver.llm.common import held_out, table
 
 # The tokenizer's file is the same on every machine.
@@ -96,3 +96,9 @@ def op9_toxicity(spark, sf_dir):
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"),
                         F.size("segments").cast("long").alias("n_passages"))
+
+
+@query
+def op1_html(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_pages(pages).drop("html")
