@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, html_text, language, pieces, private, quality, toxicity, warc
+from palaver.llm import chat, decontaminate, html_text, language, pieces, private, quality, similar, toxicity, warc
 from palaver.llm.common import held_out, table
 
 # The tokenizer's file is the same on every machine.
@@ -45,7 +45,7 @@ def op6_decontaminate(spark, sf_dir):
 def op10_pieces(spark, sf_dir):
     vocabulary = pieces.Vocabulary.load(MODEL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pieces.encode(docs, vocabulary).withColumn("decoded", pieces.decode(F.col("ids"), vocabulary))
+    found = pieces.encode(docs, vocabulary, read_back=True)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                         F.sha2("decoded", 256).alias("decoded_sha256"),
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
@@ -102,3 +102,8 @@ def op9_toxicity(spark, sf_dir):
 def op1_html(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_pages(pages).drop("html")
+
+
+@query
+def op3_similar(spark, sf_dir):
+    return similar.similar_components(table(spark, sf_dir, "documents"))
