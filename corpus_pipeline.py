@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palaver.llm import decontaminate, language, pieces
-from palaver.llm.common import prepare, shared_folder, table
+from palaver.llm import decontaminate, language, pieces, private, similar
+from palaver.llm.common import fresh, prepare, shared_folder, table
 from palaver.llm.queries import MODEL
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SCORE = 0.3
 
 
@@ -23,6 +23,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter(kept).select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of similar documents, once. Rows without an id stay."""
+    prepare(spark)
+    groups = similar.similar_components(docs)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    chosen = docs.join(kept, "doc_id", "left_semi")
+    # Repeated rows of one id: the join has brought them together already.
+    number = fresh(docs.columns, "_number")
+    first = W.partitionBy("doc_id").orderBy("doc_id")
+    once = chosen.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).select(*docs.columns)
+    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of test items; documents that are mostly such passages go."""
     prepare(spark)
@@ -30,6 +43,13 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return decontaminate.remove_contamination(found).select(*docs.columns)
 
 
+def remove_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data, and what discloses it, replaced."""
+    prepare(spark)
+    found = private.find_private(docs)
+    return found.withColumn("text", private.sanitise(F.col("text"), F.col("spans"))).select(*docs.columns)
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ``ids`` of their texts."""
     prepare(spark)
@@ -38,7 +58,9 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
     ("decontaminate", remove_benchmark),
+    ("private", remove_private),
     ("pieces", encode_pieces),
 ]
 
