@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palaver.llm.common import add_struct, fresh, utf8
 
@@ -215,7 +216,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     return add_struct(found, whole, ["n_words", "n_hit", "spans", "items"]).drop(name)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def without_words(texts: pa.Array, firsts: pa.Array, ends: pa.Array) -> pa.Array:
     """The text without the spans of words; one space stands where words were cut out."""
     kept = []
