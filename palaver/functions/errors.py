@@ -15,6 +15,16 @@ STATUS_BY_EXCEPTION = {
     "ArgumentNullException": 400,
     "ArgumentException": 400,
 }
+# Standard subclasses count as what they derive from.
+SUBCLASSES = {
+    "ObjectDisposedException": "InvalidOperationException",
+    "ArgumentOutOfRangeException": "ArgumentException",
+    "DecoderFallbackException": "ArgumentException",
+    "EncoderFallbackException": "ArgumentException",
+    "CultureNotFoundException": "ArgumentException",
+    "DuplicateWaitObjectException": "ArgumentException",
+    "InvalidEnumArgumentException": "ArgumentException",
+}
 DEFAULT_STATUS = 500
 TITLE = {
     400: "Bad Request",
@@ -43,12 +53,19 @@ def _lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def exception_name(logged: Column) -> Column:
+    """The bare type name out of what logs hold: a name, a full name, or either with a message and a trace behind it.
+    A subclass gives the name of its class."""
+    name = F.regexp_extract(logged, r"^\s*(?:[A-Za-z_][A-Za-z0-9_]*[.+])*([A-Za-z_][A-Za-z0-9_]*)", 1)
+    return F.coalesce(_lookup(name, SUBCLASSES), name)
+
+
 def status_of_exception(exception_type: Column, message: Column | None = None) -> Column:
     """Status, title, detail, RFC section, server-error mark and log level of an exception type.
 
     With ``message`` (development) the detail is the exception's own text instead of the public one.
     """
-    status = F.coalesce(_lookup(exception_type, STATUS_BY_EXCEPTION), F.lit(DEFAULT_STATUS))
+    status = F.coalesce(_lookup(exception_name(exception_type), STATUS_BY_EXCEPTION), F.lit(DEFAULT_STATUS))
     return F.struct(
         status.alias("status"),
         _lookup(status, TITLE).alias("title"),
@@ -62,4 +79,4 @@ def status_of_exception(exception_type: Column, message: Column | None = None) -
 def is_transient_error(exception_type: Column, message: Column, inner_message: Column) -> Column:
     """Timeouts, and errors whose own or inner message names a lost host, slow query or connection."""
     tests = [contains_ignoring_case(text, part) for text in (message, inner_message) for part in TRANSIENT_MESSAGES]
-    return reduce(lambda a, b: a | b, tests, F.coalesce(exception_type == "TimeoutException", F.lit(False)))
+    return reduce(lambda a, b: a | b, tests, F.coalesce(exception_name(exception_type) == "TimeoutException", F.lit(False)))

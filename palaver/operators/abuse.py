@@ -24,23 +24,39 @@ def check_thresholds(warning: int, throttle: int, flag: int) -> None:
         raise ValueError("thresholds must be positive and rise: warning < throttle < flag")
 
 
+def _panes(events: DataFrame, slide_seconds: int, keys: tuple[str, ...], *more: Column) -> DataFrame:
+    """Events merged per key and slide; ``pane_time`` places a pane in the windows over it."""
+    pane = F.window("created_at", seconds_text(slide_seconds))
+    return (
+        events.groupBy(pane.alias("_pane"), *keys)
+        .agg(F.count(F.lit(1)).alias("message_count"), *more)
+        .withColumn("pane_time", F.window_time("_pane")).drop("_pane")
+    )
+
+
+def _over_panes(window_seconds: int, slide_seconds: int) -> Column:
+    return F.window("pane_time", seconds_text(window_seconds), seconds_text(slide_seconds)).alias("window")
+
+
 def user_rate(
     events: DataFrame, window_seconds: int = 60, slide_seconds: int = 10, extra_keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """Messages per sender over all scopes in sliding windows, with the scope of the earliest one.
 
-    The earliest is by (created_at, message_id). Batch and stream.
+    The earliest is by (created_at, message_id). Events are merged per slide before they meet the windows, so it is
+    the merged rows, not the events, that are repeated for each window. Batch and stream.
     """
     check_window(window_seconds, slide_seconds)
-    window = F.window("created_at", seconds_text(window_seconds), seconds_text(slide_seconds))
     opening = F.struct("created_at", "message_id", F.concat_ws(":", "scope_type", "scope_id").alias("scope"))
+    panes = _panes(events, slide_seconds, (*extra_keys, "sender_id"), F.min("created_at").alias("first_at"),
+                   F.max("created_at").alias("last_at"), F.min(opening).alias("opening"))
     return (
-        events.groupBy(window.alias("window"), *extra_keys, "sender_id")
+        panes.groupBy(_over_panes(window_seconds, slide_seconds), *extra_keys, "sender_id")
         .agg(
-            F.count(F.lit(1)).alias("message_count"),
-            F.min("created_at").alias("first_event_at"),
-            F.max("created_at").alias("last_event_at"),
-            F.min(opening).alias("opening"),
+            F.sum("message_count").alias("message_count"),
+            F.min("first_at").alias("first_event_at"),
+            F.max("last_at").alias("last_event_at"),
+            F.min("opening").alias("opening"),
         )
         .select(
             *extra_keys,
@@ -59,10 +75,10 @@ def user_rate(
 def user_rate_scopes(events: DataFrame, window_seconds: int = 60, slide_seconds: int = 10) -> DataFrame:
     """The scopes behind ``user_rate``, one row per sender, window and scope."""
     check_window(window_seconds, slide_seconds)
-    window = F.window("created_at", seconds_text(window_seconds), seconds_text(slide_seconds))
+    keys = ("sender_id", "scope_type", "scope_id")
     return (
-        events.groupBy(window.alias("window"), "sender_id", "scope_type", "scope_id")
-        .agg(F.count(F.lit(1)).alias("message_count"))
+        _panes(events, slide_seconds, keys).groupBy(_over_panes(window_seconds, slide_seconds), *keys)
+        .agg(F.sum("message_count").alias("message_count"))
         .select(F.col("sender_id").alias("user_id"), F.col("window.start").alias("window_start"),
                 F.col("window.end").alias("window_end"), "scope_type", "scope_id", "message_count")
     )
@@ -74,12 +90,14 @@ def rate_alerts(
     throttle: int = 100,
     flag: int = 200,
     highest_only: bool = False,
-    window_seconds: int = 60,
+    extra_keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each level a window of ``user_rate`` reaches, or only for the highest level."""
+    """One row for each level a window of ``user_rate`` reaches, or only for the highest level.
+
+    ``extra_keys`` are those of the rates: they stay beside the alert and are part of its id."""
     check_thresholds(warning, throttle, flag)
     thresholds = {"Flag": F.lit(flag), "Throttle": F.lit(throttle), "Warning": F.lit(warning)}
-    return _alerts(rates.filter(F.col("message_count") >= warning), thresholds, highest_only, window_seconds)
+    return _alerts(rates.filter(F.col("message_count") >= warning), thresholds, highest_only, extra_keys)
 
 
 def rate_alerts_by_policy(
@@ -90,7 +108,7 @@ def rate_alerts_by_policy(
     throttle: int = 100,
     flag: int = 200,
     highest_only: bool = False,
-    window_seconds: int = 60,
+    extra_keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """``rate_alerts`` with thresholds from ``policies`` (key, warning, throttle, flag), defaults elsewhere.
 
@@ -99,7 +117,7 @@ def rate_alerts_by_policy(
     """
     check_thresholds(warning, throttle, flag)
     joined, thresholds = _with_policies(rates, policies, key, warning, throttle, flag)
-    return _alerts(joined, thresholds, highest_only, window_seconds)
+    return _alerts(joined, thresholds, highest_only, extra_keys)
 
 
 def _with_policies(
@@ -130,14 +148,15 @@ def detect_alerts(
     """
     check_window(window_seconds, slide_seconds)
     check_thresholds(warning, throttle, flag)
-    window = F.window("created_at", seconds_text(window_seconds), seconds_text(slide_seconds))
+    panes = _panes(events.select("sender_id", "created_at"), slide_seconds, ("sender_id",),
+                   F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
     rates = (
-        events.select("sender_id", "created_at", window.alias("window"))
+        panes.select("*", _over_panes(window_seconds, slide_seconds))
         .groupBy(F.col("window.start").alias("window_start"), F.col("sender_id").alias("user_id"))
         .agg(
-            F.count(F.lit(1)).alias("message_count"),
-            F.min("created_at").alias("first_event_at"),
-            F.max("created_at").alias("last_event_at"),
+            F.sum("message_count").alias("message_count"),
+            F.min("first_at").alias("first_event_at"),
+            F.max("last_at").alias("last_event_at"),
         )
         .withColumn("messages_per_second", F.col("message_count").cast("double") / window_seconds)
     )
@@ -161,10 +180,12 @@ def detect_alerts(
             F.col("_opening.scope").alias("first_scope"),
         )
     )
-    return _alerts(found, thresholds, highest_only, window_seconds)
+    return _alerts(found, thresholds, highest_only, ())
 
 
-def _alerts(rates: DataFrame, thresholds: dict[str, Column], highest_only: bool, window_seconds: int) -> DataFrame:
+def _alerts(
+    rates: DataFrame, thresholds: dict[str, Column], highest_only: bool, extra_keys: tuple[str, ...]
+) -> DataFrame:
     levels = F.array(*[
         F.struct(F.lit(level).alias("event_type"), limit.cast("long").alias("threshold"),
                  F.lit(LEVEL_CONTEXT[level]).alias("context"))
@@ -174,16 +195,19 @@ def _alerts(rates: DataFrame, thresholds: dict[str, Column], highest_only: bool,
     if highest_only:
         reached = F.slice(reached, 1, 1)
     scope = parse_scope_key_leniently(F.col("first_scope"))
+    # The length of a window is read off the window itself.
+    seconds = ((F.unix_micros("window_end") - F.unix_micros("window_start")) / 1_000_000).cast("long")
     return rates.withColumn("level", F.explode(reached)).select(
-        stable_uuid(F.lit("rate"), F.col("user_id"), F.col("level.event_type"), F.unix_micros("window_start"),
-                    F.lit(window_seconds)).alias("rate_limit_event_id"),
+        stable_uuid(F.lit("rate"), *[F.col(key) for key in extra_keys], F.col("user_id"), F.col("level.event_type"),
+                    F.unix_micros("window_start"), seconds).alias("rate_limit_event_id"),
+        *extra_keys,
         F.col("level.event_type").alias("event_type"),
         "user_id",
         scope["scope_type"].alias("scope_type"),
         scope["scope_id"].alias("scope_id"),
         "window_start",
         "window_end",
-        F.lit(window_seconds).cast("long").alias("window_duration_seconds"),
+        seconds.alias("window_duration_seconds"),
         "message_count",
         F.col("level.threshold").alias("threshold"),
         (F.col("message_count") - F.col("level.threshold")).alias("excess_count"),
@@ -195,9 +219,9 @@ def _alerts(rates: DataFrame, thresholds: dict[str, Column], highest_only: bool,
     )
 
 
-def first_alerts(alerts: DataFrame, slide_seconds: int = 10) -> DataFrame:
+def first_alerts(alerts: DataFrame, slide_seconds: int = 10, extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """Only the first alert of each unbroken run of windows per user and level. Batch."""
-    runs = Window.partitionBy("user_id", "event_type").orderBy("window_start")
+    runs = Window.partitionBy(*extra_keys, "user_id", "event_type").orderBy("window_start")
     step = F.unix_micros("window_start") - F.unix_micros(F.lag("window_start").over(runs))
     return (
         alerts.withColumn("_step", step)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -82,18 +82,42 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def append_history(incoming: DataFrame, path: str) -> None:
     """Insert-if-absent into the table at ``path``. A repeated run adds nothing.
 
-    Only the stored days the batch touches are read: a row's day follows from its key.
+    Rows without a scope key are no history rows and are not written. Only the stored days that the batch itself holds
+    are read, however far apart they lie: a row's day follows from its key. The batch is worked out once.
     One writer at a time.
     """
     spark = incoming.sparkSession
-    days = incoming.agg(F.min(F.to_date("created_at")), F.max(F.to_date("created_at"))).first()
-    if days[0] is None:
-        return
-    if not _exists(spark, path):
-        write_history(first_writer(incoming), path)
-        return
-    stored = read_history(spark, path).filter(F.col("day").between(F.lit(days[0]), F.lit(days[1])))
-    write_history(rows_to_append(incoming, stored), path)
+    rows = first_writer(incoming.filter(F.col("scope_key").isNotNull())).persist()
+    try:
+        # The days of a batch: a calendar bounds their number.
+        days = sorted(row[0] for row in rows.select(F.to_date("created_at")).distinct().collect() if row[0] is not None)
+        if not days:
+            return
+        if not _exists(spark, path):
+            write_history(rows, path)
+            return
+        stored = read_history(spark, path).filter(_within(day_ranges(days)))
+        write_history(rows.join(stored.select(*KEY), list(KEY), "left_anti"), path)
+    finally:
+        rows.unpersist()
+
+
+def day_ranges(days: list[date]) -> list[tuple[date, date]]:
+    """Sorted days as runs of days that follow each other."""
+    runs: list[tuple[date, date]] = []
+    for day in days:
+        if runs and day - runs[-1][1] <= timedelta(days=1):
+            runs[-1] = (runs[-1][0], day)
+        else:
+            runs.append((day, day))
+    return runs
+
+
+def _within(runs: list[tuple[date, date]]) -> Column:
+    test = F.lit(False)
+    for first, last in runs:
+        test = test | F.col("day").between(F.lit(first), F.lit(last))
+    return test
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -210,9 +234,16 @@ def by_message_id(rows: DataFrame, buckets: int = 256) -> DataFrame:
 
 
 def write_by_message_id(rows: DataFrame, path: str, buckets: int = 256) -> None:
+    """Add rows to the projection at ``path``; an id that is stored already is not stored again. One writer at a time."""
+    order = Window.partitionBy("id_bucket", "message_id").orderBy("created_at", "scope_key", "text")
+    fresh = (
+        by_message_id(rows, buckets).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1).drop("_rank")
+    )
+    if _exists(rows.sparkSession, path):
+        stored = rows.sparkSession.read.schema(fresh.schema).parquet(path).select("id_bucket", "message_id")
+        fresh = fresh.join(stored, ["id_bucket", "message_id"], "left_anti")
     (
-        by_message_id(rows, buckets).repartitionByRange("id_bucket", "message_id")
-        .sortWithinPartitions("id_bucket", "message_id")
+        fresh.repartitionByRange("id_bucket", "message_id").sortWithinPartitions("id_bucket", "message_id")
         .write.mode("append").partitionBy("id_bucket").parquet(path)
     )
 

@@ -161,6 +161,12 @@ ORACLES["scope_counts"] = f"""WITH {CHAT}
 SELECT scope_type, scope_id, {iso(window_start('created_at', HOUR))} AS window_start,
   {iso(window_start('created_at', HOUR) + ' + INTERVAL 1 HOUR')} AS window_end, count(*) AS message_count
 FROM chat GROUP BY ALL"""
+ORACLES["scope_analytics_approx"] = f"""WITH {CHAT}
+SELECT scope_type, scope_id, {iso(window_start('created_at', DAY))} AS window_start, count(*) AS message_count,
+  CAST(sum({utf16('text')}) AS BIGINT) AS total_character_count, true AS within_bound
+FROM chat GROUP BY scope_type, scope_id, {window_start('created_at', DAY)}"""
+ORACLES["latency_summary_approx"] = """SELECT DISTINCT 'pod-' || (user_id % 3) AS machine_name, true AS p50_within_bound,
+  true AS p95_within_bound, true AS p99_within_bound FROM events"""
 ORACLES["analytics_records"] = f"""WITH {CHAT},
 stats AS (
   SELECT scope_type, scope_id, {window_start('created_at', DAY)} AS w, count(*) AS messages,
@@ -218,6 +224,9 @@ ORACLES["stream_rate_alerts"] = ORACLES["rate_alerts"] + f" WHERE w + INTERVAL 1
 ORACLES["rate_alerts_highest"] = f"""WITH {CHAT}, {rates()}
 SELECT {ALERT_COLUMNS} FROM rates JOIN {LEVELS} ON message_count >= threshold
 QUALIFY row_number() OVER (PARTITION BY user_id, w ORDER BY threshold DESC) = 1"""
+ORACLES["rate_alerts_by_tenant"] = f"""WITH {CHAT}, {rates('origin_pod_id, ')}
+SELECT {uuid("'rate'", "origin_pod_id", "user_id", "event_type", "epoch_us(w)", str(DAY))} AS rate_limit_event_id,
+  origin_pod_id AS tenant, {ALERT_COLUMNS} FROM rates JOIN {LEVELS} ON message_count >= threshold"""
 ORACLES["first_alerts"] = f"""WITH {CHAT}, {rates()}
 SELECT {ALERT_COLUMNS} FROM rates JOIN {LEVELS} ON message_count >= threshold
 QUALIFY coalesce(w - lag(w) OVER (PARTITION BY user_id, event_type ORDER BY w) > INTERVAL 6 HOUR, true)"""
@@ -244,8 +253,9 @@ FROM rates JOIN {LEVELS} ON message_count >= threshold"""
 
 
 def wire_json(sender: str) -> str:
-    return f"""json_object('messageId', message_id, 'scopeType', spelled, 'scopeId', scope_id, {sender}
-      'text', CASE WHEN n % 50 = 4 THEN chr(9) ELSE text END, 'createdAtUtc', {iso('created_at')},
+    return f"""json_object('messageId', message_id, 'scopeType', spelled,
+      'scopeId', CASE WHEN n % 50 = 13 THEN chr(8195) ELSE scope_id END, {sender}
+      'text', CASE n % 50 WHEN 4 THEN chr(9) WHEN 10 THEN 'nested' ELSE text END, 'createdAtUtc', {iso('created_at')},
       'originPodId', origin_pod_id)"""
 
 
@@ -255,26 +265,37 @@ WIRE = f"""spelt AS (
     WHEN n % 3 = 1 THEN scope_type
     WHEN scope_type = 'Channel' THEN 'CHANNEL' ELSE 'DIRECT_MESSAGE' END AS spelled
   FROM chat),
-wire AS (
+whole AS (
   SELECT *, CAST(n % 3 AS INTEGER) AS partition, n // 3 AS "offset",
-    CAST(CASE WHEN n % 50 = 5 THEN {wire_json('')} ELSE {wire_json("'senderId', sender_id,")} END AS VARCHAR) AS body
-  FROM spelt)"""
+    CAST(CASE WHEN n % 50 = 5 THEN {wire_json('')} ELSE {wire_json("'senderId', sender_id,")} END AS VARCHAR) AS json
+  FROM spelt),
+wire AS (
+  SELECT *, CASE n % 50 WHEN 0 THEN left(json, 40) WHEN 1 THEN '' WHEN 2 THEN 'null' WHEN 7 THEN json || '{{}}'
+    WHEN 8 THEN json || ' end' WHEN 9 THEN replace(json, '"', '''') WHEN 10 THEN replace(json, '"nested"', '{{"a":1}}')
+    WHEN 11 THEN replace(json, {iso('created_at')}, '10:30') WHEN 12 THEN replace(json, {iso('created_at')}, '2026')
+    WHEN 14 THEN json || ',' || json ELSE json END AS body
+  FROM whole),
+judged AS (
+  SELECT *, CASE n % 50 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'empty' WHEN 2 THEN 'null_event' WHEN 5 THEN 'missing_field'
+    WHEN 6 THEN 'bad_scope_type' WHEN 7 THEN 'bad_json' WHEN 8 THEN 'bad_json' WHEN 9 THEN 'bad_json'
+    WHEN 10 THEN 'bad_json' WHEN 11 THEN 'bad_timestamp' WHEN 12 THEN 'bad_timestamp' WHEN 13 THEN 'blank_scope'
+    WHEN 14 THEN 'bad_json' END AS reason
+  FROM wire)"""
 
 ORACLES["decode_events"] = f"""WITH {CHAT}, {WIRE}
 SELECT message_id, scope_type, scope_id, CASE WHEN n % 50 = 3 THEN chr(8195) || ' ' ELSE sender_id END AS sender_id,
   CASE WHEN n % 50 = 4 THEN chr(9) ELSE text END AS text, {iso('created_at')} AS created_at, origin_pod_id,
   partition, "offset"
-FROM wire WHERE n % 50 NOT IN (0, 1, 2, 5, 6)"""
+FROM judged WHERE reason IS NULL"""
 ORACLES["classify_payload"] = f"""WITH {CHAT}, {WIRE},
-judged AS (SELECT *, CASE n % 50 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'empty' WHEN 2 THEN 'null_event'
-  WHEN 3 THEN 'blank_sender' WHEN 4 THEN 'blank_text' WHEN 5 THEN 'blank_sender' END AS reason FROM wire)
-SELECT partition, "offset", CASE WHEN reason IS NULL THEN 'Success' ELSE 'PermanentFailure' END AS status, reason
-FROM judged"""
+stored AS (SELECT *, coalesce(reason, CASE n % 50 WHEN 3 THEN 'blank_sender' WHEN 4 THEN 'blank_text' END) AS why FROM judged)
+SELECT partition, "offset", CASE WHEN why IS NULL THEN 'Success' ELSE 'PermanentFailure' END AS status, why AS reason
+FROM stored"""
 ORACLES["quarantine"] = f"""WITH {CHAT}, {WIRE}
-SELECT partition, "offset", CASE n % 50 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'empty' WHEN 2 THEN 'null_event'
-  WHEN 5 THEN 'missing_field' WHEN 6 THEN 'bad_scope_type' END AS reason,
-  CASE n % 50 WHEN 0 THEN left(body, 40) WHEN 1 THEN '' WHEN 2 THEN 'null' ELSE body END AS preview
-FROM wire WHERE n % 50 IN (0, 1, 2, 5, 6)"""
+SELECT partition, "offset", reason, CASE WHEN strlen(body) > 256 THEN left(body, whole)
+    || CASE WHEN strlen(left(body, whole)) < 256 THEN '�' ELSE '' END || '...' ELSE body END AS preview
+FROM (SELECT *, list_max(list_filter(range(0, 257), lambda k: strlen(left(body, k)) <= 256)) AS whole FROM judged)
+WHERE reason IS NOT NULL"""
 ORACLES["publish_events"] = f"""WITH {CHAT}
 SELECT scope_id AS key, CAST(json_object('messageId', message_id,
   'scopeType', CASE WHEN scope_type = 'Channel' THEN 0 ELSE 1 END, 'scopeId', scope_id, 'senderId', sender_id,
@@ -386,6 +407,11 @@ ORACLES["append_history"] = f"""WITH {CHAT}
 SELECT scope_type || ':' || scope_id AS scope_key, {iso('created_at')} AS created_at, message_id, sender_id, text,
   origin_pod_id, CAST(0 AS INTEGER) AS broker_partition, n AS broker_offset
 FROM chat WHERE created_at >= TIMESTAMP '2024-01-16'"""
+ORACLES["append_history_table"] = f"""WITH {CHAT}
+SELECT scope_type || ':' || scope_id AS scope_key, {iso('created_at')} AS created_at, message_id, sender_id, text,
+  origin_pod_id, CAST(0 AS INTEGER) AS broker_partition, n AS broker_offset
+FROM chat"""
+ORACLES["browse"] = "SELECT least(10, count(*)) AS found FROM events"
 ORACLES["distinct_messages"] = f"""WITH {CHAT}
 SELECT message_id, scope_type, scope_id, sender_id, text, {iso('created_at')} AS created_at, origin_pod_id FROM chat"""
 ORACLES["stream_dedupe"] = ORACLES["distinct_messages"]
@@ -445,6 +471,7 @@ SELECT c.message_id, c.scope_type, c.scope_id, count(p.message_id) AS recipients
 FROM chat c LEFT JOIN pairs p ON c.message_id = p.message_id GROUP BY ALL"""
 ORACLES["route_to_pods"] = f"""WITH {CHAT}, {MEMBERS}, {PAIRS}, {PRESENCE}, {LIVE}
 SELECT p.user_id, p.message_id, l.pod_id, l.connection_id FROM pairs p LEFT JOIN live l ON p.user_id = l.user_id"""
+ORACLES["route_given_pairs"] = ORACLES["route_to_pods"]
 ORACLES["undelivered"] = f"""WITH {CHAT}, {MEMBERS}, {PAIRS}, {PRESENCE}, {LIVE}
 SELECT user_id, message_id FROM pairs WHERE user_id NOT IN (SELECT user_id FROM live)"""
 

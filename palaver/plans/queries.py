@@ -15,6 +15,7 @@ from palaver.functions.text import preview_bytes, preview_characters
 from palaver.operators import abuse, admission, analytics, content, decode, delivery, history, logs, presence
 from palaver.plans import views
 from palaver.plans.views import plain
+from palaver.session import shared_folder
 from palaver.sources import sinks
 from palaver.plans.streams import STREAM_QUERIES
 
@@ -61,7 +62,14 @@ def dialogue_analytics(spark, sf_dir):
 
 @query
 def scope_analytics_approx(spark, sf_dir):
-    return plain(analytics.scope_analytics_approx(views.chat_events(spark, sf_dir), DAY))
+    """Whether the estimated sender count of each window is within a tenth of the exact one."""
+    rows = views.chat_events(spark, sf_dir)
+    keys = ["scope_type", "scope_id", "window_start"]
+    exact = analytics.scope_analytics(rows, DAY).select(*keys, F.col("active_user_count").alias("exact"))
+    off = F.abs(F.col("active_user_count") - F.col("exact"))
+    found = analytics.scope_analytics_approx(rows, DAY).join(exact, keys)
+    return plain(found.select(*keys, "message_count", "total_character_count",
+                              (off <= F.greatest(F.lit(1.0), 0.1 * F.col("exact"))).alias("within_bound")))
 
 
 @query
@@ -106,7 +114,7 @@ def rate_alerts(spark, sf_dir):
 
 @query
 def rate_alerts_of_rates(spark, sf_dir):
-    return plain(abuse.rate_alerts(_rates(spark, sf_dir), **ALERTS, window_seconds=DAY))
+    return plain(abuse.rate_alerts(_rates(spark, sf_dir), **ALERTS))
 
 
 @query
@@ -131,6 +139,14 @@ def rate_alerts_by_policy(spark, sf_dir):
     return plain(_alerts(spark, sf_dir, policies=policies).drop("rate_limit_event_id"))
 
 
+@query
+def rate_alerts_by_tenant(spark, sf_dir):
+    """Alerts per tenant and user; as many ids as alerts."""
+    rows = views.chat_events(spark, sf_dir).withColumnRenamed("origin_pod_id", "tenant")
+    rates = abuse.user_rate(rows, DAY, 6 * HOUR, extra_keys=("tenant",))
+    return plain(abuse.rate_alerts(rates, **ALERTS, extra_keys=("tenant",)))
+
+
 @query
 def rate_limit_records(spark, sf_dir):
     """The records, their JSON read back into fields."""
@@ -262,6 +278,17 @@ def append_history(spark, sf_dir):
     return plain(history.rows_to_append(incoming, stored))
 
 
+@query
+def append_history_table(spark, sf_dir):
+    """A table below the shared folder that got the same replay twice, read back."""
+    path = shared_folder(spark, "history")
+    incoming = history.to_history(views.redelivered(spark, sf_dir))
+    early = incoming.filter(F.col("created_at") < F.lit(STORED_BEFORE).cast("timestamp"))
+    for batch in (early, incoming, incoming):
+        history.append_history(batch, path)
+    return plain(history.read_history(spark, path).drop("day"))
+
+
 @query
 def distinct_messages(spark, sf_dir):
     return plain(history.distinct_messages(views.redelivered(spark, sf_dir)).drop("partition", "offset"))
@@ -299,7 +326,10 @@ def next_page(spark, sf_dir):
 
 @query
 def browse(spark, sf_dir):
-    return plain(history.browse(_history(spark, sf_dir), 10))
+    """How many of any ten rows are history rows: all."""
+    keys = list(history.KEY)
+    rows = _history(spark, sf_dir)
+    return history.browse(rows, 10).join(rows.select(*keys), keys, "left_semi").agg(F.count(F.lit(1)).alias("found"))
 
 
 @query
@@ -381,14 +411,21 @@ def _live(spark, sf_dir):
 
 @query
 def route_to_pods(spark, sf_dir):
+    found = delivery.deliver_to_pods(
+        views.chat_events(spark, sf_dir), views.memberships(spark, sf_dir), _live(spark, sf_dir))
+    return found.select("message_id", "user_id", "pod_id", "connection_id")
+
+
+@query
+def route_given_pairs(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).select("message_id", "user_id")
     return delivery.route_to_pods(pairs, _live(spark, sf_dir))
 
 
 @query
 def undelivered(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).select("message_id", "user_id")
-    return delivery.undelivered(pairs, _live(spark, sf_dir))
+    found = delivery.missed_by(views.chat_events(spark, sf_dir), views.memberships(spark, sf_dir), _live(spark, sf_dir))
+    return found.select("message_id", "user_id")
 
 
 @query
@@ -493,7 +530,13 @@ def latency_summary(spark, sf_dir):
 
 @query
 def latency_summary_approx(spark, sf_dir):
-    return logs.latency_summary(views.logs(spark, sf_dir), "latency_ms", ("machine_name",), approximate=True)
+    """Whether each estimate lies between the exact values one percent of the rows below and above its rank."""
+    rows = views.logs(spark, sf_dir)
+    near = {"low50": 0.49, "high50": 0.51, "low95": 0.94, "high95": 0.96, "low99": 0.98, "high99": 1.0}
+    exact = rows.groupBy("machine_name").agg(*[F.percentile("latency_ms", p).alias(name) for name, p in near.items()])
+    found = logs.latency_summary(rows, "latency_ms", ("machine_name",), approximate=True).join(exact, "machine_name")
+    return found.select("machine_name", *[
+        F.col(f"p{p}").between(F.col(f"low{p}"), F.col(f"high{p}")).alias(f"p{p}_within_bound") for p in (50, 95, 99)])
 
 
 @query

@@ -171,13 +171,21 @@ def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     spelled = F.when(number % 50 == 6, "Group").otherwise(spelled)
     altered = chat.withColumns({
         "sender_id": F.when(number % 50 == 3, "\u2003 ").when(number % 50 == 5, F.lit(None)).otherwise(F.col("sender_id")),
-        "text": F.when(number % 50 == 4, "\t").otherwise(F.col("text")),
+        "text": F.when(number % 50 == 4, "\t").when(number % 50 == 10, "nested").otherwise(F.col("text")),
+        "scope_id": F.when(number % 50 == 13, "\u2003").otherwise(F.col("scope_id")),
     })
     payloads = altered.withColumn("_json", event_json(spelled))
     body = (
         F.when(number % 50 == 0, F.substring("_json", 1, 40))
         .when(number % 50 == 1, "")
         .when(number % 50 == 2, "null")
+        .when(number % 50 == 7, F.concat("_json", F.lit("{}")))
+        .when(number % 50 == 8, F.concat("_json", F.lit(" end")))
+        .when(number % 50 == 9, F.replace("_json", F.lit('"'), F.lit("'")))
+        .when(number % 50 == 10, F.replace("_json", F.lit('"nested"'), F.lit('{"a":1}')))
+        .when(number % 50 == 11, F.replace("_json", iso_micros(F.col("created_at")), F.lit("10:30")))
+        .when(number % 50 == 12, F.replace("_json", iso_micros(F.col("created_at")), F.lit("2026")))
+        .when(number % 50 == 14, F.concat("_json", F.lit(","), F.col("_json")))
         .otherwise(F.col("_json"))
     )
     return payloads.select(

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palaver.operators.abuse import check_thresholds, rate_alerts, user_rate
-from palaver.operators.admission import persistable
 from palaver.operators.analytics import scope_analytics
 from palaver.operators.decode import decode_events, quarantine
 from palaver.operators.history import append_history, to_history
@@ -27,8 +27,10 @@ def dedupe_stream(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["message_id"])
 
 
-def analytics_stream(events: DataFrame, window_seconds: int = 60, slide_seconds: int | None = None) -> DataFrame:
-    return scope_analytics(with_event_time(events), window_seconds, slide_seconds)
+def analytics_stream(
+    events: DataFrame, window_seconds: int = 60, slide_seconds: int | None = None, lateness: str = LATENESS
+) -> DataFrame:
+    return scope_analytics(with_event_time(events, lateness), window_seconds, slide_seconds)
 
 
 def alerts_stream(
@@ -38,40 +40,62 @@ def alerts_stream(
     warning: int = 80,
     throttle: int = 100,
     flag: int = 200,
+    lateness: str = LATENESS,
 ) -> DataFrame:
     check_thresholds(warning, throttle, flag)
-    rates = user_rate(with_event_time(events), window_seconds, slide_seconds)
-    return rate_alerts(rates, warning, throttle, flag, window_seconds=window_seconds)
+    rates = user_rate(with_event_time(events, lateness), window_seconds, slide_seconds)
+    return rate_alerts(rates, warning, throttle, flag)
+
+
+@dataclass(frozen=True)
+class JobSettings:
+    """What the running jobs can be told: windows and slides in seconds, thresholds, and the allowed lateness."""
+
+    analytics_window: int = 60
+    analytics_slide: int | None = None
+    rate_window: int = 60
+    rate_slide: int = 10
+    warning: int = 80
+    throttle: int = 100
+    flag: int = 200
+    lateness: str = LATENESS
 
 
 def start_chat_jobs(
-    payloads: DataFrame, start_sink: Callable[[DataFrame, str], StreamingQuery]
+    payloads: DataFrame, start_sink: Callable[[DataFrame, str], StreamingQuery], settings: JobSettings = JobSettings()
 ) -> dict[str, StreamingQuery]:
     """The two analytic branches and the quarantine of one payload stream, each its own query.
 
     ``start_sink(records, name)`` starts a sink (see ``sources.sinks``) with a checkpoint of that name.
     """
     events = decode_events(payloads)
+    activity = analytics_stream(events, settings.analytics_window, settings.analytics_slide, settings.lateness)
+    alerts = alerts_stream(events, settings.rate_window, settings.rate_slide, settings.warning, settings.throttle,
+                           settings.flag, settings.lateness)
     return {
-        "analytics": start_sink(analytics_records(analytics_stream(events)), "analytics"),
-        "rate_limits": start_sink(rate_limit_records(alerts_stream(events)), "rate_limits"),
+        "analytics": start_sink(analytics_records(activity), "analytics"),
+        "rate_limits": start_sink(rate_limit_records(alerts), "rate_limits"),
         "quarantine": start_sink(quarantine(payloads), "quarantine"),
     }
 
 
-def start_history_writer(payloads: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Append persistable events to the history at ``path``.
+def start_history_writer(
+    payloads: DataFrame, path: str, checkpoint: str, rejected: str, every: str | None = None
+) -> StreamingQuery:
+    """Append the events of a payload stream to the history at ``path``, and what is none to ``rejected``.
 
-    A micro-batch is committed once it is stored; a failed one is run again and adds nothing twice.
+    Every payload ends in one of the two: rejected ones with their partition and offset, the reason and a preview, in a
+    folder of their micro-batch. A micro-batch is committed once both are stored; a failed one is run again and adds
+    nothing twice.
     """
-    events = persistable(decode_events(payloads))
-
-    def store(batch: DataFrame, _: int) -> None:
-        rows = to_history(batch).persist()
-        append_history(rows, path)
-        rows.unpersist()
-
-    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+    def store(batch: DataFrame, number: int) -> None:
+        payload_rows = batch.persist()
+        set_aside = quarantine(payload_rows, for_history=True)
+        set_aside.write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/batch={number}")
+        append_history(to_history(decode_events(payload_rows, for_history=True)), path)
+        payload_rows.unpersist()
+
+    writer = payloads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 

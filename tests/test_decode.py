@@ -28,7 +28,12 @@ BAD = [
     (b"", "empty"), (None, "empty"), (b'{"messageId": "1', "bad_json"), (b"null", "null_event"), (b"[]", "bad_json"),
     (b"\xff\xfe{}", "bad_json"), (event(senderId=...), "missing_field"), (event(text=None), "missing_field"),
     (event(scopeType="Group"), "bad_scope_type"), (event(scopeType=2), "bad_scope_type"),
-    (event(createdAtUtc="yesterday"), "bad_timestamp"),
+    (event(createdAtUtc="yesterday"), "bad_timestamp"), (event(createdAtUtc="10:30"), "bad_timestamp"),
+    (event(createdAtUtc="2026"), "bad_timestamp"), (event(createdAtUtc="2026-01-15"), "bad_timestamp"),
+    (event(createdAtUtc="2026-13-15T10:30:00Z"), "bad_timestamp"), (event(scopeId=" "), "blank_scope"),
+    (event() + b"{}", "bad_json"), (event() + b" end", "bad_json"), (event() + b"," + event(), "bad_json"),
+    (event().replace(b'"', b"'"), "bad_json"), (event(text={"a": 1}), "bad_json"), (event(senderId=[1]), "bad_json"),
+    (b"5", "bad_json"), (b'"x"', "bad_json"), (b"  ", "bad_json"), (b"]", "bad_json"), (b"{},", "bad_json"),
 ]
 
 
@@ -53,10 +58,23 @@ def test_verdicts_of_the_history_writer(spark):
     payloads = [event(), b"", b"{", b"null", event(senderId="  "), event(text="\t"), event(senderId=...)]
     rows = classify_payload(wire(spark, payloads)).orderBy("offset").collect()
     assert [r.reason for r in rows] == [None, "empty", "bad_json", "null_event", "blank_sender", "blank_text",
-                                        "blank_sender"]
+                                        "missing_field"]
     assert rows[0].status == "Success" and rows[1].status == "PermanentFailure"
 
 
+def test_texts_that_look_like_json_are_texts(spark):
+    rows = decode_events(wire(spark, [event(text='{"a": 1}'), event(text="[x"), event(text=5)])).orderBy("offset").collect()
+    assert [r.text for r in rows] == ['{"a": 1}', "[x", "5"]
+
+
+def test_every_payload_is_accepted_or_set_aside(spark):
+    payloads = wire(spark, [p for p, _ in BAD] + [event(), event(senderId=" "), event(text="")])
+    for for_history, good in ((False, 3), (True, 1)):
+        assert decode_events(payloads, for_history=for_history).count() == good
+        assert quarantine(payloads, for_history=for_history).count() == len(BAD) + 3 - good
+    assert classify_payload(payloads).filter("status = 'Success'").count() == 1
+
+
 def test_encode_and_decode(spark, chat):
     events = chat([("u1", "s", 0, 'say "hi" \U0001F600'), ("u2", "d", 1.5, "x", "DirectMessage")])
     payloads = encode_events(events).select(

@@ -10,8 +10,8 @@ from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE_DIR), reason="the given tables are not here")
 
-# Any rows, and estimates: no SQL gives these.
-WITHOUT_SQL = {"browse", "scope_analytics_approx", "latency_summary_approx"}
+# Models and hashes that SQL cannot state; their own tests hold them against brute force.
+MODELLED = {"op1_html", "op2_private", "op3_similar", "op4_language", "op7_quality", "op9_toxicity", "op10_pieces", "pipeline"}
 
 # Queries with joins, run once more with all joins shuffled and skewed partitions split.
 JOINING = ["rate_alerts_by_policy", "admission_outcome", "gate_rolling", "append_history", "fan_out",
@@ -38,7 +38,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql_but_the_known():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+    assert set(queries()) - set(oracle_sql()) <= MODELLED
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -63,8 +63,3 @@ def test_query(spark, sql, name):
     expected = [tuple(row[names.index(c)] for c in columns) for row in cursor.fetchall()]
     rows = [tuple(row[c] for c in columns) for row in found.collect()]
     assert sorted(rows, key=repr) == sorted(expected, key=repr)
-
-
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_without_sql(spark, name):
-    assert queries()[name](spark, SMOKE_DIR).count() > 0

@@ -178,7 +178,11 @@ def test_jobs_from_payloads(spark, chat, tmp_path):
 def test_history_writer_stores_each_message_once(spark, chat, tmp_path):
     events = chat([("a", "s", n, f"text {n}") for n in range(5)] + [("a", "s", 9, "  ")])
     values = encode_events(events).select("value")
-    payloads = payload_feed(spark, str(tmp_path / "in"), [values, values])
-    start_history_writer(payloads, str(tmp_path / "history"), str(tmp_path / "state")).awaitTermination()
+    bad = spark.createDataFrame([("{",)], "value string")
+    payloads = payload_feed(spark, str(tmp_path / "in"), [values, values, bad])
+    start_history_writer(
+        payloads, str(tmp_path / "history"), str(tmp_path / "state"), str(tmp_path / "rejected")).awaitTermination()
+    rejected = spark.read.parquet(str(tmp_path / "rejected")).collect()
+    assert sorted(r.reason for r in rejected) == ["bad_json", "blank_text", "blank_text"]
     stored = read_history(spark, str(tmp_path / "history"))
     assert sorted(r.text for r in stored.collect()) == [f"text {n}" for n in range(5)]
