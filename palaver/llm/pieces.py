@@ -28,8 +28,8 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +38,10 @@ from palaver.llm.common import add_struct, fresh, utf8
 CHUNK = 16_384
 GIANT = 65_536
 BLOCK = 64
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 SPACE = "▁"
+# No piece holds a letter with a mark right behind it.
+LETTERS, MARKS = "A-Za-zÀ-ɏ", ".,!?:*$%&#|<>"
 IMPOSSIBLE = float("-inf")
 
 
@@ -66,8 +68,8 @@ class Vocabulary:
             elif not (model.is_control(number) or model.is_unknown(number) or model.is_unused(number)):
                 text = piece.replace(SPACE, " ")
                 ids[text], scores[text] = number, model.get_score(number)
-        if any(re.search("[^ ] |\n", piece) for piece in ids):
-            raise ValueError("pieces that go on after a space are not supported")
+        if any(re.search(f"[^ ] |\n|[{LETTERS}][{MARKS}]", piece) for piece in ids):
+            raise ValueError("pieces that go on after a space, or over a mark behind a letter, are not supported")
         if not any(byte_ids):
             raise ValueError("the model has no byte pieces")
         return cls(ids, scores, byte_ids, model.get_piece_size())
@@ -97,7 +99,7 @@ class Vocabulary:
 
 
 class Remembered(dict):
-    """A bounded memory of encoded words: emptied when full."""
+    """Results by key in bounded memory: emptied when full."""
 
     def __init__(self, make):
         super().__init__()
@@ -113,7 +115,7 @@ class Remembered(dict):
 class Encoder:
     """Segmentation of whole texts and of chunks."""
 
-    WORD = re.compile(" *[^ \n]+| +|\n")
+    WORD = re.compile(f" *[{LETTERS}]+(?=[{MARKS}])| *[^ \n]+| +|\n")
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -121,6 +123,20 @@ class Encoder:
         self.seams = Remembered(lambda pair: self._holds(*pair))
         self.histories = Remembered(self._history)
         self.tails = Remembered(self._tail)
+        self.valid = {piece for piece in vocabulary.ids if self.histories[piece] is not None}
+        self.histories.clear()
+
+    @cached_property
+    def tree(self) -> dict:
+        """All pieces by their characters; a piece stands under the empty key where it ends. Built in each task."""
+        root: dict = {}
+        for piece in self.valid:
+            node = root
+            for character in piece:
+                node = node.setdefault(character, {})
+            if len(piece) > 1:
+                node[""] = piece
+        return root
 
     def _history(self, piece: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
         """How merging builds a piece from its characters: the score of each step with the first and with the last
@@ -159,7 +175,7 @@ class Encoder:
                 return True
 
     def _piece(self, text: str) -> bool:
-        return len(text) == 1 or text in self.vocabulary.ids and self.histories[text] is not None
+        return len(text) == 1 or text in self.valid
 
     def _tail(self, text: str) -> bool | None:
         """Whether a text is a piece; None if no piece even ends in it."""
@@ -197,8 +213,40 @@ class Encoder:
         return pieces[::-1]
 
     def _word(self, word: str) -> bytes:
-        pieces = self._trace(word, self._last_pieces(word, 0, len(word), None), 0, len(word))
-        return np.array([i for piece in pieces for i in self.vocabulary.ids_of(piece)], "<i4").tobytes()
+        return self._ids(self._path(word))
+
+    def _path(self, word: str) -> list[str]:
+        """The path of score 0 through a whole word, searched with the longest pieces first. Only one such path leads
+        to any place, so a place from which the end was not reached need not be tried again."""
+        tree, seams, end = self.tree, self.seams, len(word)
+        pieces: list[str] = []
+        choices: list[list[str]] = []
+        dead: set[int] = set()
+        at, previous = 0, None
+        while at < end:
+            if len(choices) == len(pieces):
+                options, node = [word[at]], tree
+                for place in range(at, end):
+                    node = node.get(word[place])
+                    if node is None:
+                        break
+                    if "" in node:
+                        options.append(node[""])
+                choices.append(options)
+            else:
+                options = choices[-1]
+            while options:
+                piece = options.pop()
+                if (previous is None or seams[previous, piece]) and at + len(piece) not in dead:
+                    pieces.append(piece)
+                    at, previous = at + len(piece), piece
+                    break
+            else:
+                dead.add(at)
+                choices.pop()
+                at -= len(pieces.pop())
+                previous = pieces[-1] if pieces else None
+        return pieces
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian integers of four bytes."""
@@ -304,8 +352,20 @@ def through(matrices: list[np.ndarray], start: int, end: int) -> list[int]:
     return states
 
 
-def matrix(row) -> np.ndarray:
-    return np.array(row.cells, float).reshape(row.n_in, row.n_out)
+MATRIX = "key string, block int, n_in int, n_out int, cells array<float>"
+BLOCK_STATES = "key string, block int, enter int, leave int"
+CHUNK_STATES = "key string, chunk int, entry int, goal int"
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "array<float>": pa.list_(pa.float32())}
+
+
+def as_table(schema: str, columns: dict[str, list]) -> pa.Table:
+    """Columns in the types of a schema string."""
+    fields = [field.split(" ") for field in schema.split(", ")]
+    return pa.table([pa.array(columns[name], ARROW_TYPES[kind]) for name, kind in fields], names=[name for name, _ in fields])
+
+
+def matrix(row: dict) -> np.ndarray:
+    return np.array(row["cells"], float).reshape(row["n_in"], row["n_out"])
 
 
 def chunks_of(giants: DataFrame, key: str, text: str, chunk: int, context: int) -> DataFrame:
@@ -343,57 +403,72 @@ def encode_giants(giants: DataFrame, vocabulary: Vocabulary, key: str, text: str
         columns = (texts_of(windows), *[c.to_pylist() for c in (lefts, rights, entries, goals)])
         return id_lists([encoder.trace(*row) for row in zip(*columns)])
 
-    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for row in rows.sort_values("chunk").itertuples():
-            whole = matrix(row) if whole is None else product(whole, matrix(row))
-        return pd.DataFrame({"key": [rows.key.iloc[0]], "block": [rows.block.iloc[0]], "n_in": [whole.shape[0]],
-                             "n_out": [whole.shape[1]], "cells": [whole.ravel().tolist()]})
-
-    def cut_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        states = [0, *through([matrix(row) for row in rows.itertuples()], 0, 0), 0]
-        return pd.DataFrame({"key": rows.key, "block": rows.block, "enter": states[:-1], "leave": states[1:]})
-
-    def cut_chunks(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        enter, leave = int(rows.enter.iloc[0]), int(rows.leave.iloc[0])
-        states = [enter, *through([matrix(row) for row in rows.itertuples()], enter, leave), leave]
-        return pd.DataFrame({"key": rows.key, "chunk": rows.chunk, "entry": states[:-1], "goal": states[1:]})
+    def in_order(rows: pa.Table, column: str) -> list[dict]:
+        return sorted(rows.to_pylist(), key=lambda row: row[column])
+
+    def multiply(rows: pa.Table) -> pa.Table:
+        ordered = in_order(rows, "chunk")
+        whole = matrix(ordered[0])
+        for row in ordered[1:]:
+            whole = product(whole, matrix(row))
+        return as_table(MATRIX, {"key": [ordered[0]["key"]], "block": [ordered[0]["block"]], "n_in": [whole.shape[0]],
+                                 "n_out": [whole.shape[1]], "cells": [whole.ravel().tolist()]})
+
+    def cut_blocks(rows: pa.Table) -> pa.Table:
+        ordered = in_order(rows, "block")
+        states = [0, *through([matrix(row) for row in ordered], 0, 0), 0]
+        return as_table(BLOCK_STATES, {"key": [row["key"] for row in ordered], "block": [row["block"] for row in ordered],
+                                       "enter": states[:-1], "leave": states[1:]})
+
+    def cut_chunks(rows: pa.Table) -> pa.Table:
+        ordered = in_order(rows, "chunk")
+        enter, leave = ordered[0]["enter"], ordered[0]["leave"]
+        states = [enter, *through([matrix(row) for row in ordered], enter, leave), leave]
+        return as_table(CHUNK_STATES, {"key": [row["key"] for row in ordered], "chunk": [row["chunk"] for row in ordered],
+                                       "entry": states[:-1], "goal": states[1:]})
 
     chunks = chunks_of(giants, key, text, chunk, vocabulary.longest)
     dealt = chunks.repartition("key", "chunk")
     matrices = dealt.withColumn("found", transfers("window", "left", "right")).select("key", "chunk", "block", "found.*")
-    blocks = matrices.groupBy("key", "block").applyInPandas(
-        multiply, "key string, block int, n_in int, n_out int, cells array<float>")
-    block_states = blocks.groupBy("key").applyInPandas(cut_blocks, "key string, block int, enter int, leave int")
-    states = matrices.join(block_states, ["key", "block"]).groupBy("key", "block").applyInPandas(
-        cut_chunks, "key string, chunk int, entry int, goal int")
+    blocks = matrices.groupBy("key", "block").applyInArrow(multiply, MATRIX)
+    block_states = blocks.groupBy("key").applyInArrow(cut_blocks, BLOCK_STATES)
+    states = matrices.join(block_states, ["key", "block"]).groupBy("key", "block").applyInArrow(cut_chunks, CHUNK_STATES)
     traced = dealt.join(states, ["key", "chunk"]).select(
         "key", "chunk", traces("window", "left", "right", "entry", "goal").alias("ids"))
     return traced.groupBy("key").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda part: part["ids"])).alias("ids"))
 
 
-def encode_texts(text: Column, vocabulary: Vocabulary) -> Column:
-    """Ids of texts that are one chunk each."""
+def encode_texts(text: Column, vocabulary: Vocabulary, read_back: bool) -> Column:
+    """A struct of the ids of texts that are one chunk each and, if asked for, the text decoded from the ids."""
     encoder = Encoder(vocabulary)
+    shown = vocabulary.shown if read_back else []
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("ids array<int>, decoded string" if read_back else "ids array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield id_lists([encoder.encode(value) if value else b"" for value in texts_of(batch)])
+            found = [encoder.encode(value) if value else b"" for value in texts_of(batch)]
+            columns = {"ids": id_lists(found)}
+            if read_back:
+                columns["decoded"] = pa.array([decode_ids(np.frombuffer(value, "<i4"), shown) for value in found], pa.string())
+            yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     return encoded(text)
 
 
+def decode_ids(ids: np.ndarray, shown: list[bytes]) -> str:
+    return b"".join(map(shown.__getitem__, ids.tolist())).removeprefix(b" ").decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", giant: int = GIANT,
-           chunk: int = CHUNK) -> DataFrame:
-    """All rows and columns with ``ids`` appended. Texts of more than ``giant`` characters are cut into chunks."""
+           chunk: int = CHUNK, read_back: bool = False) -> DataFrame:
+    """All rows and columns with ``ids`` appended, and ``decoded``, the text they decode to, if ``read_back`` is set.
+    Texts of more than ``giant`` characters are cut into chunks."""
     if chunk < 4 * vocabulary.longest:
         raise ValueError("chunks must be at least four times as long as the longest piece")
     large = F.coalesce(F.length(F.col(text)) > giant, F.lit(False))
-    small = add_struct(docs.filter(~large), F.struct(encode_texts(F.col(text), vocabulary).alias("ids")), ["ids"])
+    names = ["ids", "decoded"] if read_back else ["ids"]
+    small = add_struct(docs.filter(~large), encode_texts(F.col(text), vocabulary, read_back), names)
     key = fresh(docs.columns, "_key")
     found_key = fresh([*docs.columns, key], "_found_key")
     keyed = docs.filter(large).withColumn(key, F.sha2(F.col(text), 256))
@@ -402,7 +477,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", giant: i
     found = encode_giants(distinct, vocabulary, key, "text", chunk).select(
         F.col("key").alias(found_key), F.col("ids").alias(found_ids))
     joined = keyed.join(found, F.col(key) == F.col(found_key))
-    whole = add_struct(joined, F.struct(F.col(found_ids).alias("ids")), ["ids"])
+    results = [F.col(found_ids).alias("ids")] + ([decode(F.col(found_ids), vocabulary).alias("decoded")] if read_back else [])
+    whole = add_struct(joined, F.struct(*results), names)
     return small.unionByName(whole.select(*small.columns))
 
 
@@ -413,10 +489,8 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            values = batch.flatten().to_numpy(zero_copy_only=False).tolist()
+            values = batch.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum([0, *[size or 0 for size in pa.compute.list_value_length(batch).to_pylist()]]).tolist()
-            parts = list(map(shown.__getitem__, values))
-            texts = [b"".join(parts[a:b]).removeprefix(b" ") for a, b in zip(ends, ends[1:])]
-            yield pa.array([value.decode("utf-8", "replace") for value in texts], pa.string())
+            yield pa.array([decode_ids(values[a:b], shown) for a, b in zip(ends, ends[1:])], pa.string())
 
     return decoded(ids)

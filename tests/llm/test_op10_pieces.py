@@ -43,8 +43,7 @@ def test_whole_texts_equal_the_library(vocabulary, library):
 def test_chunks_equal_the_library(spark, vocabulary, library):
     texts = ODD + made(2, ALPHABETS, 12, 1500) + ["the thing " * 900, "=" * 9000, None, None, "the thing " * 900]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("old"))
-    found = pieces.encode(docs, vocabulary, giant=90, chunk=64)
-    found = found.withColumn("decoded", pieces.decode(F.col("ids"), vocabulary))
+    found = pieces.encode(docs, vocabulary, giant=90, chunk=64, read_back=True)
     rows = {row.doc_id: row for row in found.collect()}
     assert len(rows) == len(texts)
     for number, text in enumerate(texts):
