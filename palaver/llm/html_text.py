@@ -29,7 +29,7 @@ from palaver.llm.common import add_struct, utf8
 from palaver.llm.labelled_pages import labelled_pages
 
 FEATURES = 1 << 12
-TRAINING_PAGES = 300
+TRAINING_PAGES = 400
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>"
     r"|<(/?)([A-Za-z][^\s/<>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*+)>", re.S)
@@ -252,7 +252,7 @@ def truth(page: Page) -> list[int]:
 
 
 @lru_cache(2)
-def train(count: int = TRAINING_PAGES, steps: int = 120, ridge: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+def train(count: int = TRAINING_PAGES, steps: int = 160, ridge: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
     """Weights and potentials fitted to labelled pages."""
     pages = [Page(source) for source in labelled_pages(count)]
     forest = Forest(pages)

@@ -85,7 +85,7 @@ def labelled_page(chance: random.Random) -> str:
         main = "<h1 data-main=\"1\">{w}</h1>" + "".join(
             f"<p data-main=\"1\">{chance.choice(['{s} {s} {s}', '{s} {s}', '{s} {l} {s}'])}</p>" for _ in body)
     for extras in (ADVERTS, SHARES, COMMENTS, FORMS, SIDEBARS, NOTICES, MENUS):
-        if chance.random() < 0.12:
+        if chance.random() < 0.25:
             extra = chance.choice(extras)
             if extra:
                 body.insert(chance.randrange(len(body) + 1), off(extra))
