@@ -145,9 +145,10 @@ def _fold_batches(
         times = pc.cast(batch.column(time), pa.int64()).to_numpy(zero_copy_only=False)
         counted = batch.column("_counts").to_numpy(zero_copy_only=False)
         is_call = batch.column("_is_call")
-        changed = pc.or_(
-            pc.fill_null(pc.not_equal(users[1:], users[:-1]), True), pc.not_equal(chunks[1:], chunks[:-1])
-        ).to_numpy(zero_copy_only=False)
+        # Two missing users are the same one.
+        only_one = pc.not_equal(pc.is_null(users[1:]), pc.is_null(users[:-1]))
+        other_user = pc.or_(pc.fill_null(pc.not_equal(users[1:], users[:-1]), False), only_one)
+        changed = pc.or_(other_user, pc.not_equal(chunks[1:], chunks[:-1])).to_numpy(zero_copy_only=False)
         edges = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
         allowed = np.zeros(batch.num_rows, dtype=bool)
         for start, stop in zip(edges, edges[1:]):
@@ -261,6 +262,7 @@ def _chain(frames: Iterator[pd.DataFrame], user: str, limit: int, window: int) -
     for frame in frames:
         entries = []
         for key, piece in frame.groupby([user, "_chunk"], sort=False, dropna=False):
+            key = (None if pd.isna(key[0]) else key[0], key[1])
             if key != current:
                 if current is not None:
                     count, last = apply_chunk(_as_table(pd.concat(pieces)), count, last, limit, window)
@@ -303,12 +305,12 @@ def gate_rolling(
     row_id: str = "message_id",
     counted: Column | None = None,
     chunk_rows: int = 1_000_000,
-    windows_per_chunk: int = 128,
 ) -> DataFrame:
     """Adds ``allowed`` by a per-user counter whose expiry each allowed call renews. Batch.
 
-    Users with more than ``chunk_rows`` calls are cut into chunks of time of about that many calls, but of at
-    least ``windows_per_chunk`` windows, so that one user never is one task.
+    Calls without a user are counted as one user's. Users with more than ``chunk_rows`` calls are cut into chunks by
+    their measured counts: whole windows of time are taken together until a chunk holds that many calls. Calls of one
+    user within one window stay in one chunk.
     """
     _check_gate(limit, window_seconds)
     window = window_seconds * 1_000_000
@@ -316,24 +318,27 @@ def gate_rolling(
     marked = calls.withColumn("_counts", counts)
 
     micros = F.unix_micros(time)
-    busy = (
-        marked.groupBy(user)
-        .agg(F.count(F.lit(1)).alias("rows"), F.min(micros).alias("first"), F.max(micros).alias("last"))
-        .filter(F.col("rows") > chunk_rows)
-        .select(user, F.greatest(
-            F.floor((F.col("last") - F.col("first")) * (F.lit(float(chunk_rows)) / F.col("rows"))),
-            F.lit(windows_per_chunk * window),
-        ).cast("long").alias("_chunk_micros"))
+    slots = (
+        marked.groupBy(F.col(user).alias("_user"), F.floor(micros / window).alias("_slot"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    chunked = marked.join(busy, user, "left").withColumn(
-        "_chunk", F.coalesce(F.floor(micros / F.col("_chunk_micros")), F.lit(-1)).cast("long")
+    whole = Window.partitionBy("_user")
+    before = F.sum("_rows").over(whole.orderBy("_slot")) - F.col("_rows")
+    cuts = (
+        slots.withColumn("_chunk", F.floor(before / chunk_rows).cast("long"))
+        .withColumn("_all", F.sum("_rows").over(whole)).filter(F.col("_all") > chunk_rows)
+        .select("_user", "_slot", "_chunk")
+    )
+    same = F.col(user).eqNullSafe(F.col("_user")) & (F.floor(micros / window) == F.col("_slot"))
+    chunked = (
+        marked.join(cuts, same, "left").drop("_user", "_slot").withColumn("_chunk", F.coalesce("_chunk", F.lit(-1).cast("long")))
     )
     entries = _chunk_entries(
         chunked.filter(F.col("_counts") & (F.col("_chunk") >= 0)), user, time, limit, window
     )
     # The entries travel as rows ahead of their chunk's calls: one shuffle brings both together.
     ready = (
-        chunked.drop("_chunk_micros").withColumn("_is_call", F.lit(True))
+        chunked.withColumn("_is_call", F.lit(True))
         .unionByName(
             entries.withColumns({"_is_call": F.lit(False), "_counts": F.lit(False)}), allowMissingColumns=True
         )

@@ -66,14 +66,14 @@ def expected_rolling(rows, limit, window):
 @pytest.mark.parametrize("chunk_rows", [1_000_000, 20])
 def test_rolling_gate_with_and_without_chunks(chat, chunk_rows):
     events = chat(random_calls(7, 600, 5, 900))
-    found = gate_rolling(events, 3, 7, chunk_rows=chunk_rows, windows_per_chunk=2)
+    found = gate_rolling(events, 3, 7, chunk_rows=chunk_rows)
     assert found.columns == [*events.columns, "allowed"]
     assert {r.message_id: r.allowed for r in found.collect()} == expected_rolling(events.collect(), 3, 7)
 
 
 def test_hot_users_are_cut_into_chunks(chat):
     events = chat(random_calls(7, 600, 5, 900))
-    plan = gate_rolling(events, 3, 7, chunk_rows=20, windows_per_chunk=2)
+    plan = gate_rolling(events, 3, 7, chunk_rows=20)
     keys = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "_chunk" in keys and "MapInArrow" in keys
 
@@ -117,3 +117,15 @@ def test_calls_without_a_user_share_a_counter(chat, gate):
 def test_bad_limits(chat, gate):
     with pytest.raises(ValueError):
         gate(chat([]), 0, 60)
+
+
+def test_missing_users_and_bursts_are_cut(chat):
+    steps = [0.01 * n for n in range(300)] + [40 + 3.3 * n for n in range(60)]
+    events = chat([(user, "s", second) for user in (None, "burst", "calm") for second in (steps if user != "calm" else steps[-9:])])
+    whole = {r.message_id: r.allowed for r in gate_rolling(events, 3, 7).collect()}
+    cut = gate_rolling(events, 3, 7, chunk_rows=40)
+    assert {r.message_id: r.allowed for r in cut.collect()} == whole
+    for user in (None, "burst"):
+        ids = [f"m{n + (0 if user is None else 360):04d}" for n in range(360)]
+        times = np.array([round(second * 1_000_000) for second in steps])
+        assert [whole[i] for i in ids] == fold_calls(times, 0, 0, 3, 7_000_000)[0].tolist()
