@@ -120,3 +120,33 @@ def test_pending(spark):
     items = spark.createDataFrame([("Users", "0001"), ("Chat", "0002"), ("Chat", "0001")], columns)
     ledger = spark.createDataFrame([("Chat", "0001"), ("Old", "0009")], columns)
     assert [tuple(r) for r in h.pending(items, ledger).collect()] == [("Chat", "0002"), ("Users", "0001")]
+
+
+def test_blank_scopes_are_not_stored(spark, chat, tmp_path):
+    path = str(tmp_path / "blank")
+    for _ in range(3):
+        h.append_history(h.to_history(chat([("a", "s", 1), ("a", " ", 2)])), path)
+    assert ids(h.read_history(spark, path)) == ["m0000"]
+
+
+def test_only_the_days_of_the_batch_are_read():
+    days = [at(86_400 * n).date() for n in (0, 1, 2, 400, 800, 801)]
+    assert h.day_ranges(days) == [(days[0], days[2]), (days[3], days[3]), (days[4], days[5])]
+
+
+def test_an_outlier_prunes_the_days_between(spark, chat, tmp_path):
+    path = str(tmp_path / "days")
+    h.append_history(h.to_history(chat([("a", "s", 86_400 * n) for n in range(6)])), path)
+    stored = h.read_history(spark, path).filter(h._within(h.day_ranges([at(0).date(), at(86_400 * 5).date()])))
+    assert len({f for f in stored.inputFiles()}) >= 1 and stored.count() == 2
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    h.append_history(h.to_history(chat([("a", "s", 0, "again"), ("b", "s", 86_400 * 5.5), ("b", "s", 86_400 * 5.5)])), path)
+    assert h.read_history(spark, path).count() == 8
+
+
+def test_projection_by_message_id_is_written_once(spark, rows, tmp_path):
+    path = str(tmp_path / "ids")
+    for _ in range(2):
+        h.write_by_message_id(rows, path, buckets=4)
+    assert spark.read.parquet(path).count() == rows.count()
