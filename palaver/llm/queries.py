@@ -55,7 +55,8 @@ def op10_pieces(spark, sf_dir):
 def op5_chat(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     done = chat.format_conversations(turns.unionByName(added))
     turns_read, loss_read = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
     lines = F.transform(turns_read, lambda one: F.concat(one["role"], F.lit("\n"), one["text"], F.lit("\n")))
