@@ -37,6 +37,7 @@ LEAST_PAYLOAD = 0
 SALTS = 16
 READ = 1 << 20
 INDEX_SLICE = 2_000
+READ_SLICE = 8 << 20
 LEVEL = 4
 DATE = "2026-01-01T00:00:00Z"
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
@@ -245,7 +246,9 @@ def read_archives(index: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    slices = index.repartition(F.col("path"), F.floor(F.col("offset") / (8 << 20)))
+    # As many tasks as the archives' bytes ask for: the index rows alone look too small to Spark for more than one.
+    size = index.select(F.sum("length")).first()[0] or 0
+    slices = index.repartitionByRange(max(1, -(-size // READ_SLICE)), "path", "offset")
     return slices.select("path", "offset", "length").mapInArrow(read, RECORD_SCHEMA + ", payload binary")
 
 
@@ -255,6 +258,7 @@ def archive(spark: SparkSession, pages: DataFrame, least: int = LEAST_PAYLOAD) -
     # The finished files are named by small tables, so no task writes an archive twice because a reader asks again.
     written = f"{folder}/written"
     write_archives(classify(pages, least), f"{folder}/monolithic").write.parquet(written)
-    archives = spark.read.parquet(written).repartition("path")
+    archives = spark.read.parquet(written)
+    archives = archives.repartition(max(1, archives.count()))
     normalise(archives, f"{folder}/records").write.parquet(f"{folder}/index")
     return read_archives(spark.read.parquet(f"{folder}/index"))
