@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows and bytes of one Arrow batch: a Python worker holds a few of these, however long the texts are.
-BATCH_ROWS = 2_000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
 
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 # One or more characters between words, as Java and Python both read it.

@@ -38,7 +38,7 @@ from palaver.llm.common import add_struct, fresh, utf8
 CHUNK = 16_384
 GIANT = 65_536
 BLOCK = 64
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 SPACE = "▁"
 # No piece holds a letter with a mark right behind it.
 LETTERS, MARKS = "A-Za-zÀ-ɏ", ".,!?:*$%&#|<>"

@@ -39,7 +39,7 @@ BLOCK = 1_000
 NEAREST = 3
 SALTS = 16
 FILTER_WORDS = 1 << 14
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
