@@ -73,6 +73,28 @@ def test_rows_without_id_stay(spark, folder):
     assert corpus_pipeline.drop_near_duplicates(spark, docs, folder).count() == 3
 
 
+def test_near_copies_at_five_words_and_four_fifths(spark, folder):
+    def shingles(text, size):
+        words = text.split()
+        return {tuple(words[at:at + size]) for at in range(len(words) - size + 1)}
+
+    words = sentence(EN, 400, 100).split()
+    near = words[:20] + ["changed"] + words[21:70] + ["also"] + words[71:]
+    far = words[:20] + ["changed"] + words[21:45] + ["more"] + words[46:70] + ["also"] + words[71:]
+    texts = [" ".join(words), " ".join(near), " ".join(words[:15] + far[15:])]
+
+    def alike(a, b, size):
+        return len(shingles(a, size) & shingles(b, size)) / len(shingles(a, size) | shingles(b, size))
+
+    assert 0.8 <= alike(texts[0], texts[1], 5) < 0.9 and alike(texts[0], texts[1], 3) < 0.9
+    assert alike(texts[0], texts[2], 5) < 0.8
+    rows = [(400, texts[0]), (401, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [row.doc_id for row in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()] == [400]
+    apart = spark.createDataFrame([(400, texts[0]), (402, texts[2])], docs.schema)
+    assert sorted(row.doc_id for row in corpus_pipeline.drop_near_duplicates(spark, apart, folder).collect()) == [400, 402]
+
+
 def test_entry_lists_the_pipeline():
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries()["pipeline"] is corpus_pipeline.run
