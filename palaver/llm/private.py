@@ -6,8 +6,8 @@ mentions, a term's pointwise mutual information with the entity is set against t
 A term with a share of at least ``threshold``, seen in at least ``support`` different surroundings, discloses the
 entity. Near a mention of it, such a term is generalised, or removed where it reveals nearly all (``removal``).
 
-Surroundings that repeat, as in copies of a document, count once. How common a term is comes from counts over all
-texts, in a fixed number of hashed buckets: a bucket can only make a term look more common, so it never adds a span.
+Surroundings that repeat, as in copies of a document, count once. How common a term is comes from exact counts over all
+texts, so a share means the same at every size.
 
 Patterns use possessive quantifiers, and may start only where a run of their characters starts or where the last match
 ended; the matches are the same, and long runs cost linear time.
@@ -36,7 +36,6 @@ AROUND = 80
 SUPPORT = 3
 THRESHOLD = 0.7
 REMOVAL = 0.95
-BUCKETS = 1 << 16
 SALTS = 16
 STEP = 256
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -139,28 +138,25 @@ def surroundings(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def disclosures(near: DataFrame, docs: DataFrame, text: str, support: int, threshold: float) -> DataFrame:
     """(entity, term, share): terms that disclose an entity, with the share of its information they give."""
     contexts = near.select("entity", "context").distinct()
     per_entity = contexts.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    per_pair = (
+    per_pair = keep(
         near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
-        .filter(F.col("n_pair") >= support)
-    )
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERMS), F.lit(0))).alias("term"))
-    counts = words.groupBy(bucket_of(F.col("term")).alias("bucket")).agg(F.count("*").alias("n_bucket"))
-    total_words = words.agg(F.count("*").alias("n")).first()["n"]
+        .filter(F.col("n_pair") >= support), "term-pairs")
+    found = F.regexp_extract_all(F.col(text), F.lit(TERMS), F.lit(0))
+    words = docs.select(F.explode(found).alias("word")).select(F.lower("word").alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n_term")).join(per_pair.select("term").distinct(), "term")
+    total_words = docs.agg(F.sum(F.size(found).cast("long")).alias("n")).first()["n"] or 0
     total_contexts = contexts.agg(F.count("*").alias("n")).first()["n"]
     # About as many terms as fit around a mention: how likely one of them is the term, if it comes by chance.
-    chance = F.least(F.lit(1.0), F.col("n_bucket") * (2 * AROUND / 6) / max(1, total_words))
+    # A piece cut off by a mention may be no word of any text; then it is as common as it was seen to be.
+    chance = F.least(F.lit(1.0), F.coalesce("n_term", "n_pair") * (2 * AROUND / 6) / max(1, total_words))
     gained = F.log2(F.col("n_pair") / F.col("n_entity") / chance)
     content = F.log2(F.lit(max(2, total_contexts + 1)) / F.col("n_entity"))
     return (
-        per_pair.join(per_entity, "entity").withColumn("bucket", bucket_of(F.col("term"))).join(counts, "bucket")
+        salted_left_join(per_pair.join(per_entity, "entity"), counts, ["term"], F.col("entity"), SALTS)
         .select("entity", "term", F.least(F.lit(1.0), gained / content).alias("share"))
         .filter(F.col("share") >= threshold)
     )

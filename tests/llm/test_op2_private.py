@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -66,6 +67,24 @@ def test_disclosing_terms_and_rewriting(spark):
     assert rows[12].clean == texts[12] and rows[12].spans == []
 
 
+def test_a_rare_term_is_not_drowned_by_others(spark):
+    """Two million words of their own would fill any small number of buckets."""
+    def name(number):
+        return F.translate(F.concat(F.lit("x"), number.cast("string")), "0123456789", "abcdefghij")
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(1_999)), lambda k: name(F.lit(10_000_000) + F.col("id") * 2_000 + k))
+    others = spark.range(1_000).select(F.array_join(words, " ").alias("text"))
+    mails = spark.range(30_000).select(F.concat(F.lit("mail "), name(F.col("id") + 90_000_000), F.lit(" u"), "id",
+                                                F.lit("@other.example")).alias("text"))
+    rare = spark.range(3).select(F.concat(name(F.col("id") + 80_000_000), F.lit(" Zanzibar kim@corp.example ")).alias("text"))
+    docs = others.union(mails).union(rare)
+    near = private.keep(private.surroundings(docs, "text"), "near")
+    shares = {(row.entity, row.term): row.share for row in private.disclosures(near, docs, "text", 3, 0.0).collect()}
+    total, chance = 2_060_006, 3 * (2 * private.AROUND / 6)
+    assert math.log2(total / chance) > math.log2((30_003 + 1) / 3)
+    assert shares["email:kim@corp.example", "zanzibar"] == 1.0
+
+
 def test_digest_of_nothing_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "plain")], "doc_id long, text string")
     row = private.find_private(docs).select(F.sha2(private.shown(F.col("spans")), 256).alias("sha")).first()
