@@ -4,7 +4,8 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers, found by
 the protected entities. The corpus then says which other terms give an entity away: over the surroundings of all its
 mentions, a term's pointwise mutual information with the entity is set against the entity's own information content.
 A term with a share of at least ``threshold``, seen in at least ``support`` different surroundings, discloses the
-entity. Near a mention of it, such a term is generalised, or removed where it reveals nearly all (``removal``).
+entity. In a text that mentions it, such a term is generalised wherever it stands, or removed where it reveals nearly
+all (``removal``).
 
 Surroundings that repeat, as in copies of a document, count once. How common a term is comes from exact counts over all
 texts, so a share means the same at every size.
@@ -115,10 +116,19 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def surroundings(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each term near a mention: (key, entity, term, start, end, context)."""
+def mentioning(docs: DataFrame, text: str) -> DataFrame:
+    """(key, text, spans) of every different text that mentions an entity."""
     found = docs.select(F.col(text).alias("text"), base_spans(F.col(text)).alias("spans")).filter(F.size("spans") > 0)
-    mentions = found.select("text", "spans", F.explode("spans").alias("span"))
+    return found.select(text_key(F.col("text")).alias("key"), "text", "spans").dropDuplicates(["key"])
+
+
+def entity_of(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["value"])
+
+
+def surroundings(held: DataFrame) -> DataFrame:
+    """A row for each term near a mention in the texts of ``mentioning``: (key, entity, term, start, end, context)."""
+    mentions = held.select("key", "text", "spans", F.explode("spans").alias("span"))
     first = F.greatest(F.col("span.start") - AROUND, F.lit(0))
     before = F.substring("text", first + 1, F.col("span.start") - first)
     after = F.substring("text", F.col("span.end") + 1, F.lit(AROUND))
@@ -127,17 +137,21 @@ def surroundings(docs: DataFrame, text: str) -> DataFrame:
 
     def whole(term):  # not cut by the edge of the surroundings, and outside of every mention
         cut = ((term["start"] == F.col("first")) & (F.col("first") > 0)) | (term["end"] == F.col("span.end") + AROUND)
-        return ~cut & ~F.exists(F.col("spans"), lambda span: (span["start"] < term["end"]) & (term["start"] < span["end"]))
+        return ~cut & ~F.exists(F.col("spans"), lambda span: overlap(span, term))
 
     return (
         mentions.withColumn("first", first).withColumn("before", before).withColumn("after", after)
         .withColumn("context", F.xxhash64("before", "after"))
         .withColumn("term", F.explode(F.filter(terms, whole)))
-        .select(text_key(F.col("text")).alias("key"), F.concat_ws(":", "span.kind", "span.value").alias("entity"),
-                F.lower("term.value").alias("term"), "term.start", "term.end", "context")
+        .select("key", entity_of(F.col("span")).alias("entity"), F.lower("term.value").alias("term"), "term.start",
+                "term.end", "context")
     )
 
 
+def overlap(one: Column, other: Column) -> Column:
+    return (one["start"] < other["end"]) & (other["start"] < one["end"])
+
+
 def disclosures(near: DataFrame, docs: DataFrame, text: str, support: int, threshold: float) -> DataFrame:
     """(entity, term, share): terms that disclose an entity, with the share of its information they give."""
     contexts = near.select("entity", "context").distinct()
@@ -162,23 +176,50 @@ def disclosures(near: DataFrame, docs: DataFrame, text: str, support: int, thres
     )
 
 
+def disclosed(held: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, term, share): the terms that disclose an entity of the text, wherever in the text they stand."""
+    entities = held.select("key", F.size(F.regexp_extract_all("text", F.lit(TERMS), F.lit(0))).alias("n_words"),
+                           F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity"))
+    per_entity = known.groupBy("entity").agg(F.count("*").alias("n_known"))
+    pairs = salted_left_join(entities, per_entity, ["entity"], F.col("key"), SALTS).filter(F.col("n_known").isNotNull())
+    # Either the entity's terms or the text's words are spread out, whichever are fewer: an entity of very many terms,
+    # or a text of very many entities, multiplies nothing.
+    few = salted_left_join(pairs.filter("n_known <= n_words"), known, ["entity"], F.col("key"), SALTS)
+    many = pairs.filter("n_known > n_words").join(held.select("key", "text"), "key").select(
+        "key", "entity", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERMS), F.lit(0)))).alias("word"))
+    many = many.select("key", "entity", F.lower("word").alias("term"))
+    many = salted_left_join(many, known, ["entity", "term"], F.col("key"), SALTS).filter(F.col("share").isNotNull())
+    return few.select("key", "term", "share").union(many.select("key", "term", "share")).groupBy("key", "term").agg(
+        F.max("share").alias("share"))
+
+
 def find_private(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD,
                  removal: float = REMOVAL) -> DataFrame:
     """All rows and columns with ``spans`` appended: base spans by kind and start, then disclosing terms by start."""
-    near = keep(surroundings(docs, text), "surroundings")
-    known = disclosures(near, docs, text, support, threshold)
-    marked = salted_left_join(near, known, ["entity", "term"], F.col("key"), SALTS).filter(F.col("share").isNotNull())
-    strongest = marked.groupBy("key", "term", "start", "end").agg(F.max("share").alias("share"))
+    held = keep(mentioning(docs, text), "mentioning")
+    near = keep(surroundings(held), "surroundings")
+    known = keep(disclosures(near, docs, text, support, threshold), "disclosures")
+    terms = keep(disclosed(held, known), "disclosed")
+    # All words of the texts concerned; those near a mention also as the mention cuts them.
+    concerned = held.join(terms.select("key").distinct(), "key", "left_semi")
+    everywhere = concerned.select("key", F.explode(located(F.col("text"), TERMS, TERM, F.lit(0))).alias("word")).select(
+        "key", F.lower("word.value").alias("term"), "word.start", "word.end")
+    places = everywhere.union(near.select("key", "term", "start", "end")).join(terms, ["key", "term"])
+    strongest = places.groupBy("key", "term", "start", "end").agg(F.max("share").alias("share"))
     span = F.struct(F.when(F.col("share") >= removal, F.lit(REMOVED_TERM)).otherwise(F.lit(TERM)).alias("kind"),
                     F.col("start"), F.col("end"), F.col("term").alias("value"))
     own = fresh(docs.columns, "_key")
     more = fresh([*docs.columns, own], "_more")
-    terms = strongest.groupBy(F.col("key").alias(own)).agg(
+    marked = strongest.groupBy(F.col("key").alias(own)).agg(
         F.array_sort(F.collect_list(span), lambda a, b: a["start"] - b["start"]).alias(more))
     spread = F.monotonically_increasing_id()
-    joined = salted_left_join(docs.withColumn(own, text_key(F.col(text))), terms, [own], spread, SALTS)
-    spans = F.concat(base_spans(F.col(text)), F.coalesce(F.col(more), F.array().cast(SPAN)))
-    return add_struct(joined, F.struct(spans.alias("spans")), ["spans"]).drop(own, more)
+    joined = salted_left_join(docs.withColumn(own, text_key(F.col(text))), marked, [own], spread, SALTS)
+
+    def outside(base):  # words of the mentions themselves are no terms
+        return F.concat(base, F.filter(F.coalesce(F.col(more), F.array().cast(SPAN)), lambda term: ~F.exists(
+            base, lambda mention: overlap(mention, term))))
+
+    return add_struct(joined, F.struct(let(base_spans(F.col(text)), outside).alias("spans")), ["spans"]).drop(own, more)
 
 
 def shown(spans: Column) -> Column:

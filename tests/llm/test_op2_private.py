@@ -78,13 +78,38 @@ def test_a_rare_term_is_not_drowned_by_others(spark):
                                                 F.lit("@other.example")).alias("text"))
     rare = spark.range(3).select(F.concat(name(F.col("id") + 80_000_000), F.lit(" Zanzibar kim@corp.example ")).alias("text"))
     docs = others.union(mails).union(rare)
-    near = private.keep(private.surroundings(docs, "text"), "near")
+    near = private.surroundings(private.mentioning(docs, "text"))
     shares = {(row.entity, row.term): row.share for row in private.disclosures(near, docs, "text", 3, 0.0).collect()}
     total, chance = 2_060_006, 3 * (2 * private.AROUND / 6)
     assert math.log2(total / chance) > math.log2((30_003 + 1) / 3)
     assert shares["email:kim@corp.example", "zanzibar"] == 1.0
 
 
+def test_terms_meet_texts_from_either_side(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta a@b.example alpha"), (2, "Alpha " + "gamma " * 40 + "a@b.example")],
+                                 "doc_id long, text string")
+    known = spark.createDataFrame([("email:a@b.example", term, 0.8) for term in ["alpha", *(f"t{n}" for n in range(20))]],
+                                  "entity string, term string, share double")
+    found = private.disclosed(private.mentioning(docs, "text"), known).filter("term IN ('alpha', 'beta', 'gamma')").collect()
+    assert len({row.key for row in found}) == 2 and [row.term for row in found] == ["alpha"] * 2
+
+
+def test_a_disclosing_term_is_marked_in_the_whole_text(spark):
+    far = "the old town " * 20
+    texts = [f"word{'abcdefghij'[i % 10]} said Zanzibar and kim@corp.example {'lorem ipsum dolor'.split()[i % 3]} {far}"
+             for i in range(12)]
+    texts[0] = f"Zanzibar {far} kim@corp.example {far} ZANZIBAR kim@zanzibar.example Zanzibar"
+    texts += ["mail ann@other.example " + "the old town " * 9] * 20 + [f"Zanzibar alone {far}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {row.doc_id: row for row in private.find_private(docs, threshold=0.5).collect()}
+    found = [(span.start, span.end) for span in rows[0].spans if span.value == "zanzibar"]
+    outside = [m.span() for m in re.finditer("zanzibar", texts[0].lower()) if texts[0][m.end():m.end() + 1] != "."]
+    assert len(outside) == 3 and found == outside
+    for number in range(1, 12):
+        assert [span.start for span in rows[number].spans if span.value == "zanzibar"] == [texts[number].index("Zanz")]
+    assert rows[len(texts) - 1].spans == []
+
+
 def test_digest_of_nothing_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "plain")], "doc_id long, text string")
     row = private.find_private(docs).select(F.sha2(private.shown(F.col("spans")), 256).alias("sha")).first()
