@@ -107,4 +107,4 @@ def op1_html(spark, sf_dir):
 
 @query
 def op3_similar(spark, sf_dir):
-    return similar.similar_components(table(spark, sf_dir, "documents"))
+    return similar.similar_links(table(spark, sf_dir, "documents"))

@@ -7,8 +7,9 @@ length filter, the positional filter, and the suffix filter: the sets are parted
 differences of the parts' sizes bound the sets' difference from below. What is left is verified once per pair on the
 whole sets.
 
-Texts with equal sets form one class, which takes part once. Within a large group of similar classes not all pairs are
-verified: a first round verifies for each class its few nearest candidates of each shingle; a second round verifies
+Texts with equal sets form one class, which takes part once. ``similar_links`` verifies every candidate pair of classes
+and counts each document's links. Where components alone are wanted, as in ``similar_components``, not all pairs of a
+large group are verified: a first round verifies for each class its few nearest candidates of each shingle; a second round
 every candidate pair that the links found so far do not connect. No component is missed by that. A shingle shared by many
 classes is dealt out as pairs of blocks, so no task sees more than two blocks of it.
 
@@ -158,8 +159,10 @@ def nearest(second: np.ndarray, least: np.ndarray, count: int) -> np.ndarray:
     return order[rank < count]
 
 
-def candidates(shared: DataFrame, classes: DataFrame, percent: int, components: DataFrame | None) -> DataFrame:
-    """(a, b) pairs of classes to verify: the nearest ones, or, given components, all that lie in different ones."""
+def candidates(shared: DataFrame, classes: DataFrame, percent: int, components: DataFrame | None,
+               every: bool = False) -> DataFrame:
+    """(a, b) pairs of classes to verify: the nearest ones, or every one, or, given components, all that lie in
+    different ones."""
     known = classes.select("rep", "n", "parts")
     if components is None:
         known = known.withColumn("component", F.col("rep"))
@@ -171,7 +174,7 @@ def candidates(shared: DataFrame, classes: DataFrame, percent: int, components:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = rows.select("token", "rep", "n", "place", "parts", "component", "block", other)
     paired = paired.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    all_pairs = components is not None
+    all_pairs = every or components is not None
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
@@ -237,9 +240,9 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingler
     return joined.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct()
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
-                       percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row. Ids are whole numbers, different for different texts."""
+def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
+                   every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures of the rows; the classes that have an id; and links (a, b) between those, all or enough of them."""
     shingler = Shingler(size)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = bucket_counts(plain, "text", shingler)
@@ -254,11 +257,41 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     blocks = F.ceil(F.col("classes") / BLOCK).cast("int")
     shared = keep(prefixes.join(shares, "token").select("token", "rep", "place", blocks.alias("blocks")).withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "shared")
-    first = keep(verified(keep(candidates(shared, alive, percent, None), "pairs"), plain, "doc_id", "text", shingler, percent), "near")
+    first = keep(verified(keep(candidates(shared, alive, percent, None, every), "pairs"), plain, "doc_id", "text", shingler,
+                          percent), "near")
+    if every:
+        return signed, alive, first
     cross = keep(candidates(shared, alive, percent, connected(first)), "pairs")
-    links = first.union(verified(cross, plain, "doc_id", "text", shingler, percent))
+    return signed, alive, first.union(verified(cross, plain, "doc_id", "text", shingler, percent))
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
+                       percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row. Ids are whole numbers, different for different texts."""
+    signed, alive, links = linked_classes(docs, doc_id, text, size, percent, False)
     named = alive.select("fingerprint", "rep").join(connected(links).withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("fingerprint", F.coalesce("component", "rep").alias("component"))
     found = salted_left_join(signed.select("doc_id", "fingerprint", "n"), named, ["fingerprint"], F.col("doc_id"), SALTS)
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                         F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def similar_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
+                  percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row, ``n_links`` being the number of other documents as
+    similar as asked for. Rows that repeat an id are one document, each row without id is one."""
+    signed, alive, links = linked_classes(docs, doc_id, text, size, percent, True)
+    rows = signed.filter("n > 0").groupBy("fingerprint", "doc_id").agg(F.count("*").alias("rows"))
+    members = rows.groupBy("fingerprint").agg(
+        F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("members"))
+    sizes = keep(members.join(alive.select("fingerprint", "rep"), "fingerprint", "left"), "sizes")
+    both = links.union(links.select("b", "a")).toDF("rep", "other")
+    other = sizes.filter("rep IS NOT NULL").select(F.col("rep").alias("other"), "members")
+    linked = salted_left_join(both, other, ["other"], F.col("rep"), SALTS).groupBy("rep").agg(F.sum("members").alias("linked"))
+    named = sizes.join(connected(links).withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left")
+    named = named.select("fingerprint", F.coalesce("component", "rep").alias("component"),
+                         (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    found = salted_left_join(signed.select("doc_id", "fingerprint", "n"), named, ["fingerprint"], F.col("doc_id"), SALTS)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+                        F.coalesce("component", "doc_id").alias("component_id"),
+                        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

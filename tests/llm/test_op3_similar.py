@@ -61,6 +61,30 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert found == brute(rows)
 
 
+@pytest.mark.parametrize("block", [1000, 4])
+def test_links_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    base = [f"g{n}" for n in range(120)]
+    group = [" ".join(base[:n] + [f"h{n}"] + base[n + 1:]) for n in range(3, 118, 4)]  # all alike, far more than the nearest
+    rows = list(enumerate(texts(block) + group + group[:2], 100))
+    sets = [(doc_id, word_set(text)) for doc_id, text in rows]
+    expected = {a: sum(1 for b, t in sets if a != b and s and t and 100 * len(s & t) >= 90 * len(s | t)) for a, s in sets}
+    docs = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string").repartition(3)
+    found = similar.similar_links(docs).collect()
+    assert len(found) == len(rows) + 1
+    assert {row.doc_id: row.n_links for row in found} == expected
+    assert {row.doc_id: (row.n_shingles, row.component_id) for row in found} == brute(rows)
+
+
+def test_the_query_gives_links(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, ""), (None, "a b c d")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    from palaver.llm.queries import QUERIES
+
+    rows = [tuple(row) for row in QUERIES["op3_similar"](spark, str(tmp_path)).fillna(-1).collect()]
+    assert sorted(rows) == [(-1, 2, 1, 2), (1, 2, 1, 2), (2, 2, 1, 2), (3, 0, 3, 0)]
+
+
 def test_empty_table_and_missing_ids(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.similar_components(docs).collect() == []
