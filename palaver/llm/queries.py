@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, html_text, language, pieces, private, quality, similar, toxicity, warc
+from palaver.llm import (
+    chat, decontaminate, html_text, language, pieces, private, quality, runs, similar, toxicity, warc,
+)
 from palaver.llm.common import held_out, table
 
 # The tokenizer's file is the same on every machine.
@@ -108,3 +110,18 @@ def op1_html(spark, sf_dir):
 @query
 def op3_similar(spark, sf_dir):
     return similar.similar_links(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.when(F.pmod(number, F.lit(10)) == 0, runs.with_periodic_tail(F.col("text"), F.floor(number / 10)))
+    found = runs.find_runs(docs.withColumn("text", F.coalesce(chosen, "text")))
+    best = runs.longest(F.col("runs"))
+    lines = F.transform("runs", lambda run: F.concat(
+        run["start"].cast("string"), F.lit(","), run["length"].cast("string"), F.lit(","), run["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(joined(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
