@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import (
-    chat, decontaminate, html_text, language, pieces, private, quality, runs, similar, toxicity, warc,
+    chat, decontaminate, fingerprints, html_text, language, pieces, private, quality, runs, similar, toxicity,
+    warc,
 )
 from palaver.llm.common import held_out, table
 
@@ -125,3 +126,8 @@ def op13_runs(spark, sf_dir):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
         best["period"].alias("period"), F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
         F.sha2(joined(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_fingerprints(spark, sf_dir):
+    return fingerprints.near_components(table(spark, sf_dir, "documents"))
