@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm import (
     chat, decontaminate, fingerprints, html_text, language, pieces, private, quality, runs, similar, toxicity,
-    warc,
+    warc, whitening,
 )
 from palaver.llm.common import held_out, table
 
@@ -131,3 +131,13 @@ def op13_runs(spark, sf_dir):
 @query
 def op12_fingerprints(spark, sf_dir):
     return fingerprints.near_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    """A deviation that no long can hold is null."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    rows = found.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "identity_error",
+                        F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "one"))
+    return rows.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation",
+                       F.col("one.whitened").alias("whitened"), F.col("one.explained").alias("explained"), "identity_error")
