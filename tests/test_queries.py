@@ -11,7 +11,8 @@ from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE_DIR), reason="the given tables are not here")
 
 # Models and hashes that SQL cannot state; their own tests hold them against brute force.
-MODELLED = {"op1_html", "op2_private", "op3_similar", "op4_language", "op7_quality", "op9_toxicity", "op10_pieces", "pipeline"}
+MODELLED = {"op1_html", "op2_private", "op3_similar", "op4_language", "op7_quality", "op9_toxicity", "op10_pieces", "op11_whitening",
+            "op12_fingerprints", "op13_runs", "pipeline"}
 
 # Queries with joins, run once more with all joins shuffled and skewed partitions split.
 JOINING = ["rate_alerts_by_policy", "admission_outcome", "gate_rolling", "append_history", "fan_out",
