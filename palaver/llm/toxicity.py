@@ -63,21 +63,22 @@ class Scores(dict):
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, score). Only words of positive score are visited."""
+    """All maximal scoring segments (first, end, score). Only words of positive score are visited. Each segment knows the
+    last one before it whose sum starts lower; those between can never be joined once it stands, so none is passed twice."""
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[int, int, float, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []
     for place in np.flatnonzero(scores > 0).tolist():
         first, end, low, high = place, place + 1, float(sums[place]), float(sums[place + 1])
+        number = len(found) - 1
         while True:
-            number = len(found) - 1
             while number >= 0 and found[number][2] >= low:
-                number -= 1
+                number = found[number][4]
             if number < 0 or found[number][3] >= high:
                 break
-            first, low = found[number][0], found[number][2]
-            del found[number:]
-        found.append((first, end, low, high))
-    return [(first, end, high - low) for first, end, low, high in found]
+            joined, (first, _, low, _, number) = number, found[number]
+            del found[joined:]
+        found.append((first, end, low, high, number))
+    return [(first, end, high - low) for first, end, low, high, _ in found]
 
 
 @dataclass

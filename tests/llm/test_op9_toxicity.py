@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -32,6 +33,15 @@ def test_segments_against_brute_force():
         assert np.allclose([s for *_, s in found], [s for *_, s in expected])
 
 
+def test_long_texts_cost_as_much_a_word_as_short_ones():
+    falling = np.tile([1.0, -2.0], 150_000)
+    uneven = np.concatenate([np.tile([3.0, -1.0], 50_000), falling, np.tile([1.0, -0.5], 50_000)])
+    started = time.perf_counter()
+    assert len(toxicity.maximal_segments(falling)) == 150_000
+    assert len(toxicity.maximal_segments(uneven)) == 150_002
+    assert time.perf_counter() - started < 5
+
+
 def corpus(spark, count=900):
     chance = random.Random(3)
     plain = ["stone", "river", "house", "green", "walk", "light", "paper", "window", "small", "sound"]
