@@ -7,9 +7,9 @@ are hit; an item shorter than a window is hit where it occurs as a whole.
 The automaton lives in every task, so its size is bounded: the items are taken in blocks of at most ``block_words``
 words, and the texts are run against one block after another, each row carrying its hits along.
 
-Defined cases: a null text or item has no words. Items that share an id count once. Repeated rows get equal results.
-Items without an id are left out.
-No item gives no hits. Columns of the result's names are replaced.
+Defined cases: a null text or item has no words. Items that share an id count once. Items without an id are hit like any
+others, but not named among those found. Repeated rows get equal results. No item gives no hits. Columns of the result's
+names are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def words(text: bytes | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of the items' words, with what each state says about windows and short items."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -71,7 +71,7 @@ class Automaton:
                 self.short[state].append((len(codes), item))
         for state in by_length:
             parent = self.link[state]
-            self.short[state] = sorted({*self.short[state], *self.short[parent]}, reverse=True)
+            self.short[state] = sorted({*self.short[state], *self.short[parent]}, key=lambda one: one[0], reverse=True)
             if self.length[parent] >= window:
                 self.items[state] = self.items[parent]
             elif self.length[state] >= window:
@@ -147,13 +147,14 @@ class Automaton:
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The items in blocks of about ``block_words`` words at most, dealt by a hash of the id. Rows without id are no items."""
-    known = items.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, text)
-    total = known.select(F.sum(F.size(F.split(F.col(text), " ")))).first()[0] or 0
+    """The items in blocks of about ``block_words`` words at most, dealt by a hash of their rows."""
+    known = items.filter(F.col(text).isNotNull()).select(item_id, text)
+    total = known.select(F.sum(F.regexp_count(F.col(text), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
     blocks = -(-total // block_words)
     for block in range(blocks):
-        rows = known.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == block).collect()
-        yield [(row[0], words(row[1].encode("utf-8", "surrogatepass"))) for row in sorted(map(tuple, rows))]
+        rows = known.filter(F.pmod(F.xxhash64(item_id, text), F.lit(blocks)) == block).collect()
+        yield [(row[0], words(row[1].encode("utf-8", "surrogatepass")))
+               for row in sorted(map(tuple, rows), key=lambda row: (row[0] is None, row[0] or 0, row[1]))]
 
 
 def probe(text: Column, automaton: Automaton) -> Column:
@@ -170,7 +171,7 @@ def probe(text: Column, automaton: Automaton) -> Column:
                 codes = np.fromiter(map(code, tokens, repeat(-1)), np.int32, len(tokens))
                 found, named = automaton.hits(codes) if tokens and automaton.least else ([], set())
                 spans.append([{"first": first, "end": end} for first, end in found])
-                items.append(sorted(named))
+                items.append(sorted(named - {None}))
             yield pa.StructArray.from_arrays(
                 [pa.array(counts, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),

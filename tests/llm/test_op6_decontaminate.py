@@ -17,7 +17,7 @@ def brute(text, items, window=10):
         for i in range(len(tokens) - size + 1 if size else 0):
             if tuple(tokens[i:i + size]) in windows:
                 hit.update(range(i, i + size))
-                found.add(item)
+                found |= {item} - {None}
     return len(tokens), len(hit), sorted(found)
 
 
@@ -25,8 +25,8 @@ def made():
     chance = random.Random(6)
     letters = [f"w{n}" for n in range(12)] + ["É", "x-y", "B2"]
     items = [(n, " ".join(chance.choice(letters) for _ in range(chance.choice([0, 1, 2, 3, 9, 10, 11, 25])))) for n in range(25)]
-    items += [(3, "another text of item three w1 w2 w3 w4 w5 w6"), (50, None), (51, " .,"), (52, "w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1")]
-    texts = [None, "", "...", "W1,W1;w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1"]
+    items += [(None, "n1 n2 n3 w1 w2 w3 w4 w5 w6 w7 w8 w9"), (None, "n9"), (3, "another text of item three w1 w2 w3 w4 w5 w6"), (50, None), (51, " .,"), (52, "w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1")]
+    texts = ["N1, n2 n3 w1 w2 w3 w4 w5 w6 w7 w8; n9 n9", None, "", "...", "W1,W1;w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1"]
     for _ in range(60):
         parts = [" ".join(chance.choice(letters) for _ in range(chance.randrange(30)))]
         own = words(chance.choice(items)[1])
