@@ -36,7 +36,7 @@ class ByteNetwork:
 
     labels: list[str]
     dim: int = 12
-    filters: int = 16
+    filters: int = 24
     seed: int = 0
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
