@@ -43,6 +43,9 @@ def drain(spark, tmp_path):
         run.dropped = sum(
             op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"]
         )
+        # Rows kept by each stateful step, the last one of the plan last, after each micro-batch.
+        run.state_rows = [tuple(op["numRowsTotal"] for op in reversed(progress["stateOperators"]))
+                          for progress in query.recentProgress if progress["stateOperators"]]
         return spark.read.schema(rows.schema).parquet(str(tmp_path / name / "out"))
 
     return run
@@ -125,6 +128,25 @@ def test_gate_keeps_its_counter_between_batches(chat, feed, drain):
     assert found == {"m0000": True, "m0001": True, "m0002": False, "m0003": True}
 
 
+@pytest.mark.parametrize("gate", [gate_fixed_stream, gate_rolling_stream])
+def test_no_user_stays_in_the_state_after_its_window(chat, feed, drain, gate):
+    events = chat([(f"u{n}", "s", n % 30) for n in range(40)] + [("end", "s", 300), ("end", "s", 310), ("last", "s", 600)])
+    frames = [events.filter("sender_id like 'u%'"), events.filter("message_id = 'm0040'"),
+              events.filter("message_id = 'm0041'"), events.filter("sender_id = 'last'")]
+    assert drain(gate(with_event_time(feed(frames)), 2, 60)).count() == 42
+    waiting, users = [r[0] for r in drain.state_rows], [r[1] for r in drain.state_rows]
+    # The last call waits; of those before it no instant and no counter is left.
+    assert max(waiting) >= 1 and waiting[-1] == 1 and max(users) >= 1 and users[-1] == 0
+
+
+def test_presence_state_ends_with_the_last_connection(spark, feed, drain):
+    rows = [(f"u{n}", "a", "online", n) for n in range(20)] + [("x", "a", "online", 400), ("y", "a", "online", 900)]
+    frames = [presence_rows(spark, rows[:20]), presence_rows(spark, rows[20:21]), presence_rows(spark, rows[21:])]
+    found = drain(presence_stream(with_event_time(feed(frames, PRESENCE_EVENT), time="ts")))
+    assert found.filter("user_id like 'u%' and connections = 0").count() == 20
+    assert drain.state_rows[-1] == (1, 0)
+
+
 def presence_rows(spark, rows):
     return spark.createDataFrame([(u, "p", c, kind, at(s)) for u, c, kind, s in rows], PRESENCE_EVENT)
 
