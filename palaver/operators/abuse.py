@@ -120,17 +120,73 @@ def rate_alerts_by_policy(
     return _alerts(joined, thresholds, highest_only, extra_keys)
 
 
-def _with_policies(
-    rates: DataFrame, policies: DataFrame, key: str, warning: int, throttle: int, flag: int
-) -> tuple[DataFrame, dict[str, Column]]:
-    chosen = policies.select(key, *[F.col(name).alias(f"_{name}") for name in ("warning", "throttle", "flag")])
-    return rates.join(chosen, key, "left"), {
+def policy_spans(policies: DataFrame, key: str) -> DataFrame:
+    """Versions (key, valid_from, warning, throttle, flag) with the time ``_until`` at which the next one of the key
+    begins. Of versions that begin together the one with the highest levels counts."""
+    levels = ("warning", "throttle", "flag")
+    once = policies.groupBy(key, "valid_from").agg(F.max(F.struct(*levels)).alias("_levels"))
+    following = F.lead("valid_from").over(Window.partitionBy(key).orderBy("valid_from"))
+    return once.select(key, F.col("valid_from").alias("_from"), following.alias("_until"),
+                       *[F.col(f"_levels.{name}").alias(f"_{name}") for name in levels])
+
+
+def rate_alerts_as_of(
+    rates: DataFrame,
+    policies: DataFrame,
+    key: str = "user_id",
+    warning: int = 80,
+    throttle: int = 100,
+    flag: int = 200,
+    highest_only: bool = False,
+    extra_keys: tuple[str, ...] = (),
+    bucket_seconds: int = 86_400,
+) -> DataFrame:
+    """``rate_alerts`` with thresholds that change over time: each window takes the version of its key's policy that is
+    valid at the window's end, defaults before the first. Batch.
+
+    ``policies`` has (key, valid_from, warning, throttle, flag); a null level of a version falls back to the default. The
+    last version of each key is joined by the key alone, as there is one. Earlier ones are joined by equality on key and
+    time bucket, each repeated for the buckets it is valid in, so a key of many versions meets few of them in a bucket.
+    """
+    check_thresholds(warning, throttle, flag)
+    size = bucket_seconds * 1_000_000
+    names = ("_warning", "_throttle", "_flag")
+    spans = policy_spans(policies, key)
+    last = spans.filter(F.col("_until").isNull()).select(
+        key, F.col("_from").alias("_last_from"), *[F.col(name).alias(f"_last{name}") for name in names])
+    buckets = F.sequence(F.floor(F.unix_micros("_from") / size), F.floor((F.unix_micros("_until") - 1) / size))
+    earlier = spans.filter(F.col("_until").isNotNull()).select(
+        F.col(key).alias("_key"), "_from", "_until", *names, F.explode(buckets).alias("_in"))
+    valid = (F.col("window_end") >= F.col("_from")) & (F.col("window_end") < F.col("_until"))
+    placed = rates.withColumn("_bucket", F.floor(F.unix_micros("window_end") / size)).join(last, key, "left")
+    joined = placed.join(earlier, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_in")) & valid, "left")
+    in_effect = F.col("window_end") >= F.col("_last_from")
+    joined = joined.withColumns({name: F.when(in_effect, F.col(f"_last{name}")).otherwise(F.col(name)) for name in names})
+    return alerts_of_levels(joined, warning, throttle, flag, highest_only, extra_keys)
+
+
+def alerts_of_levels(
+    rates: DataFrame, warning: int, throttle: int, flag: int, highest_only: bool = False, extra_keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Alerts of rates that carry levels of their own (``_warning``, ``_throttle``, ``_flag``), defaults for nulls."""
+    return _alerts(rates, _levels(warning, throttle, flag), highest_only, extra_keys)
+
+
+def _levels(warning: int, throttle: int, flag: int) -> dict[str, Column]:
+    return {
         "Flag": F.coalesce(F.col("_flag"), F.lit(flag)),
         "Throttle": F.coalesce(F.col("_throttle"), F.lit(throttle)),
         "Warning": F.coalesce(F.col("_warning"), F.lit(warning)),
     }
 
 
+def _with_policies(
+    rates: DataFrame, policies: DataFrame, key: str, warning: int, throttle: int, flag: int
+) -> tuple[DataFrame, dict[str, Column]]:
+    chosen = policies.select(key, *[F.col(name).alias(f"_{name}") for name in ("warning", "throttle", "flag")])
+    return rates.join(chosen, key, "left"), _levels(warning, throttle, flag)
+
+
 def detect_alerts(
     events: DataFrame,
     window_seconds: int = 60,

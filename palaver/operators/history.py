@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from palaver.functions.scope import parse_scope_key, scope_key
 from palaver.schemas import HISTORY_ROW
+from palaver.session import configure
 
 KEY = ("scope_key", "created_at", "message_id")
 WIDE_SCOPE_ROWS = 100_000_000
@@ -69,10 +71,12 @@ def write_history(rows: DataFrame, path: str) -> None:
     Rows are partitioned by ranges of (day, key): tasks are of even size however rows are spread over days and
     scopes, and a scope's messages of a day lie in few files, which a lookup finds by their statistics.
     """
-    (
-        with_layout(rows).repartitionByRange("day", *KEY).sortWithinPartitions("day", *KEY)
-        .write.mode("append").partitionBy("day").parquet(path)
-    )
+    _clustered(rows).write.mode("append").partitionBy("day").parquet(path)
+
+
+def _clustered(rows: DataFrame) -> DataFrame:
+    configure(rows.sparkSession)
+    return with_layout(rows).repartitionByRange("day", *KEY).sortWithinPartitions("day", *KEY)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -83,20 +87,23 @@ def append_history(incoming: DataFrame, path: str) -> None:
     """Insert-if-absent into the table at ``path``. A repeated run adds nothing.
 
     Rows without a scope key are no history rows and are not written. Only the stored days that the batch itself holds
-    are read, however far apart they lie: a row's day follows from its key. The batch is worked out once.
+    are read, however far apart they lie, and of those the files that reach into the batch's times: a row's day and time
+    are part of its key. The batch is worked out once.
     One writer at a time.
     """
     spark = incoming.sparkSession
     rows = first_writer(incoming.filter(F.col("scope_key").isNotNull())).persist()
     try:
-        # The days of a batch: a calendar bounds their number.
-        days = sorted(row[0] for row in rows.select(F.to_date("created_at")).distinct().collect() if row[0] is not None)
+        # The days of a batch with its first and last time in each: a calendar bounds their number.
+        times = rows.filter(F.col("created_at").isNotNull()).groupBy(F.to_date("created_at").alias("day")).agg(
+            F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+        days = {row["day"]: (row["first"], row["last"]) for row in times.collect()}
         if not days:
             return
         if not _exists(spark, path):
             write_history(rows, path)
             return
-        stored = read_history(spark, path).filter(_within(day_ranges(days)))
+        stored = read_history(spark, path).filter(_within(day_ranges(sorted(days)), days))
         write_history(rows.join(stored.select(*KEY), list(KEY), "left_anti"), path)
     finally:
         rows.unpersist()
@@ -113,16 +120,26 @@ def day_ranges(days: list[date]) -> list[tuple[date, date]]:
     return runs
 
 
-def _within(runs: list[tuple[date, date]]) -> Column:
+def _within(runs: list[tuple[date, date]], times: dict[date, tuple[datetime, datetime]] | None = None) -> Column:
+    """Rows of the runs of days, given ``times`` only those between the first and the last time of each run. Files of
+    other times of those days, of earlier batches say, are skipped by their statistics."""
     test = F.lit(False)
     for first, last in runs:
-        test = test | F.col("day").between(F.lit(first), F.lit(last))
+        inside = F.col("day").between(F.lit(first), F.lit(last))
+        if times is not None:
+            inside = inside & F.col("created_at").between(F.lit(times[first][0]), F.lit(times[last][1]))
+        test = test | inside
     return test
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path, lambda system, target: system.exists(target))
+
+
+def _file_system(spark: SparkSession, path: str, use: Callable):
+    """What ``use`` makes of the file system that holds ``path`` and of the path there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return use(target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
 
 
 def history(
@@ -227,6 +244,43 @@ def expire_history(spark: SparkSession, path: str, target: str, before: datetime
     write_history(retained(rows, before).drop("day"), target)
 
 
+def delete_before(spark: SparkSession, path: str, before: datetime | str, scope: str | None = None) -> None:
+    """Delete the messages older than ``before`` from the table at ``path``, in one scope or in all.
+
+    Days that lose all their rows go as folders, unread where no scope is given. Of the others only those that lose rows
+    are written anew, each replaced as a whole when its rows stand, so the files of all other days stay as they are and
+    a failed run is run again. One writer at a time; rows without a day stay.
+    """
+    limit = F.lit(before).cast("timestamp")
+    last = spark.range(1).select(F.to_date(limit)).first()[0]
+    days = [day for day in stored_days(spark, path) if day <= last]
+    gone, cut = [day for day in days if day < last and scope is None], [day for day in days if day == last or scope is not None]
+    doomed = F.col("created_at") < limit
+    if scope is not None:
+        doomed = doomed & (F.col("scope_key") == scope)
+    if cut:
+        stored = read_history(spark, path).filter(F.col("day").between(F.lit(cut[0]), F.lit(cut[-1])))
+        touched = sorted(row[0] for row in stored.filter(doomed).select("day").distinct().collect())
+        if touched:
+            rows = stored.filter(F.col("day").isin(touched))
+            kept = rows.filter(~F.coalesce(doomed, F.lit(False)))
+            left = {row[0] for row in kept.select("day").distinct().collect()}
+            if left:
+                _clustered(kept.drop("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                    "day").parquet(path)
+            gone += [day for day in touched if day not in left]
+    for day in gone:
+        _file_system(spark, f"{path.rstrip('/')}/day={day}", lambda system, folder: system.delete(folder, True))
+
+
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """The days of the table at ``path``, by its folders."""
+    names = _file_system(spark, path, lambda system, folder: [
+        one.getPath().getName() for one in system.listStatus(folder)] if system.exists(folder) else [])
+    days = (name.removeprefix("day=") for name in names if name.startswith("day="))
+    return sorted(date.fromisoformat(day) for day in days if day[:1].isdigit())
+
+
 def by_message_id(rows: DataFrame, buckets: int = 256) -> DataFrame:
     """The projection for lookups by message id; ``id_bucket`` is its partition column."""
     bucket = F.pmod(F.conv(F.substring(F.md5("message_id"), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")

@@ -238,6 +238,17 @@ levels AS (
     CASE WHEN p.user_id IS NULL THEN l.threshold ELSE l.threshold - 1 + p.shift END AS threshold
   FROM rates r LEFT JOIN policies p ON r.user_id = p.user_id, {LEVELS.replace('levels(', 'l(')})
 SELECT {ALERT_COLUMNS} FROM levels WHERE message_count >= threshold"""
+AS_OF = f"""versions AS (
+  SELECT 'user-' || user_id AS user_id, ts, max(event_id % 3) AS shift FROM events WHERE event_type = 'signup' GROUP BY ALL),
+chosen AS (
+  SELECT r.*, v.shift FROM rates r LEFT JOIN versions v ON v.user_id = r.user_id AND v.ts <= r.w + INTERVAL 1 DAY
+  QUALIFY row_number() OVER (PARTITION BY r.user_id, r.w ORDER BY v.ts DESC NULLS LAST) = 1),
+levels AS (
+  SELECT r.*, event_type, context, CASE WHEN shift IS NULL THEN l.threshold ELSE l.threshold - 1 + shift END AS threshold
+  FROM chosen r, {LEVELS.replace('levels(', 'l(')})"""
+ORACLES["rate_alerts_as_of"] = f"""WITH {CHAT}, {rates()}, {AS_OF}
+SELECT {ALERT_COLUMNS} FROM levels WHERE message_count >= threshold"""
+ORACLES["stream_rate_alerts_as_of"] = ORACLES["rate_alerts_as_of"] + f" AND w + INTERVAL 1 DAY <= {WATERMARK}"
 ORACLES["rate_limit_records"] = f"""WITH {CHAT}, {rates()}
 SELECT user_id AS key, {ALERT_ID} AS "rateLimitEventId", event_type AS "eventType", user_id AS "userId",
   split_part(first_scope, ':', 1) AS "scopeType", split_part(first_scope, ':', 2) AS "scopeId",
@@ -411,6 +422,11 @@ ORACLES["append_history_table"] = f"""WITH {CHAT}
 SELECT scope_type || ':' || scope_id AS scope_key, {iso('created_at')} AS created_at, message_id, sender_id, text,
   origin_pod_id, CAST(0 AS INTEGER) AS broker_partition, n AS broker_offset
 FROM chat"""
+ORACLES["delete_history_table"] = f"""WITH {CHAT}
+SELECT scope_type || ':' || scope_id AS scope_key, {iso('created_at')} AS created_at, message_id, sender_id, text,
+  origin_pod_id
+FROM chat WHERE created_at >= TIMESTAMP '2024-01-11 07:30:00'
+  AND NOT (scope_type || ':' || scope_id = 'Channel:view-3' AND created_at < TIMESTAMP '2024-01-20 18:00:00')"""
 ORACLES["browse"] = "SELECT least(10, count(*)) AS found FROM events"
 ORACLES["distinct_messages"] = f"""WITH {CHAT}
 SELECT message_id, scope_type, scope_id, sender_id, text, {iso('created_at')} AS created_at, origin_pod_id FROM chat"""
@@ -463,6 +479,10 @@ FROM events WHERE ts >= TIMESTAMP '2024-01-16'"""
 
 ORACLES["fan_out"] = f"WITH {CHAT}, {MEMBERS}, {PAIRS} SELECT * FROM pairs"
 ORACLES["stream_fan_out"] = ORACLES["fan_out"]
+ORACLES["stream_fan_out_by_changes"] = f"""WITH {CHAT}, {MEMBERS}
+SELECT c.message_id, c.scope_type, c.scope_id, m.user_id
+FROM chat c JOIN members m ON c.scope_type = m.scope_type AND c.scope_id = m.scope_id
+ AND c.created_at >= m.joined_at AND c.created_at < m.left_at WHERE c.created_at <= {WATERMARK}"""
 ORACLES["fan_out_by_scope_id"] = f"""WITH {CHAT}, {MEMBERS}
 SELECT c.message_id, count(*) AS recipients FROM chat c JOIN members m ON c.scope_id = m.scope_id
  AND c.created_at >= m.joined_at AND c.created_at < m.left_at GROUP BY c.message_id"""

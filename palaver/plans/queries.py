@@ -139,6 +139,13 @@ def rate_alerts_by_policy(spark, sf_dir):
     return plain(_alerts(spark, sf_dir, policies=policies).drop("rate_limit_event_id"))
 
 
+@query
+def rate_alerts_as_of(spark, sf_dir):
+    """Each sign-up of a user begins a new version of the user's thresholds."""
+    rates = _rates(spark, sf_dir)
+    return plain(abuse.rate_alerts_as_of(rates, views.policy_versions(views.events(spark, sf_dir)), **ALERTS).drop("rate_limit_event_id"))
+
+
 @query
 def rate_alerts_by_tenant(spark, sf_dir):
     """Alerts per tenant and user; as many ids as alerts."""
@@ -289,6 +296,16 @@ def append_history_table(spark, sf_dir):
     return plain(history.read_history(spark, path).drop("day"))
 
 
+@query
+def delete_history_table(spark, sf_dir):
+    """A table below the shared folder from which old messages were deleted, first all, then those of one scope."""
+    path = shared_folder(spark, "history")
+    history.write_history(history.to_history(views.chat_events(spark, sf_dir)), path)
+    history.delete_before(spark, path, "2024-01-11 07:30:00")
+    history.delete_before(spark, path, "2024-01-20 18:00:00", "Channel:view-3")
+    return plain(history.read_history(spark, path).drop("day", "broker_partition", "broker_offset"))
+
+
 @query
 def distinct_messages(spark, sf_dir):
     return plain(history.distinct_messages(views.redelivered(spark, sf_dir)).drop("partition", "offset"))

@@ -119,6 +119,22 @@ def as_presence_events(rows: DataFrame) -> DataFrame:
     )
 
 
+def policy_versions(rows: DataFrame) -> DataFrame:
+    """A version of a user's alert levels from each sign-up on."""
+    shift = F.col("event_id") % 3
+    return rows.filter(F.col("event_type") == "signup").select(
+        F.concat(F.lit("user-"), F.col("user_id")).alias("user_id"), F.col("ts").alias("valid_from"),
+        *[(shift + least).cast("int").alias(name) for name, least in (("warning", 3), ("throttle", 5), ("flag", 7))])
+
+
+def membership_changes(memberships: DataFrame) -> DataFrame:
+    """Joining and leaving as events."""
+    both = F.array(F.struct(F.lit("joined").alias("kind"), F.col("joined_at").alias("ts")),
+                   F.struct(F.lit("left").alias("kind"), F.col("left_at").alias("ts")))
+    return memberships.select("scope_type", "scope_id", "user_id", F.explode(both).alias("change")).select(
+        "scope_type", "scope_id", "user_id", "change.kind", "change.ts")
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as log lines with shipper metadata, in a mix of label spellings, containers and ids."""
     number, kind = F.col("event_id"), F.col("event_type")

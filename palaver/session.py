@@ -11,6 +11,8 @@ REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Older kinds of stored times have no statistics, so lookups by time would skip no file.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 # Only streams with per-key state functions need this one; it is harmless elsewhere.

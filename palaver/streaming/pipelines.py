@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from palaver.operators.abuse import check_thresholds, rate_alerts, user_rate
+from palaver.operators.abuse import alerts_of_levels, check_thresholds, rate_alerts, user_rate
 from palaver.operators.analytics import scope_analytics
 from palaver.operators.decode import decode_events, quarantine
 from palaver.operators.history import append_history, to_history
 from palaver.sources.sinks import analytics_records, rate_limit_records
+from palaver.streaming.ordered import rates_as_of_stream
 
 LATENESS = "5 seconds"
 
@@ -47,6 +48,22 @@ def alerts_stream(
     return rate_alerts(rates, warning, throttle, flag)
 
 
+def alerts_as_of_stream(
+    events: DataFrame,
+    policies: DataFrame,
+    window_seconds: int = 60,
+    slide_seconds: int = 10,
+    warning: int = 80,
+    throttle: int = 100,
+    flag: int = 200,
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """``alerts_stream`` with thresholds that change while it runs: ``policies``, a stream, has versions per user."""
+    check_thresholds(warning, throttle, flag)
+    rates = user_rate(with_event_time(events, lateness), window_seconds, slide_seconds)
+    return alerts_of_levels(rates_as_of_stream(rates, policies), warning, throttle, flag)
+
+
 @dataclass(frozen=True)
 class JobSettings:
     """What the running jobs can be told: windows and slides in seconds, thresholds, and the allowed lateness."""

@@ -106,6 +106,20 @@ def test_policies_replace_the_defaults(spark, chat):
     assert sorted(r.rate_limit_event_id for r in by_rates) == sorted(r.rate_limit_event_id for r in direct)
 
 
+def test_versions_take_effect_at_the_end_of_a_window(spark, chat):
+    rows = chat([("a", "s", 60 * minute + n) for minute in range(5) for n in range(5)] + [("b", "s", n) for n in range(5)])
+    versions = [("a", at(100), 2, 3, 50), ("a", at(180), 3, 40, 50), ("a", at(180), 1, 2, 3), ("a", at(10_000_000), 1, 2, 3),
+                ("a", at(240), None, None, None), ("c", at(0), 1, 2, 3), ("b", at(61), 1, 2, 3)]
+    policies = spark.createDataFrame(versions, "user_id string, valid_from timestamp, warning int, throttle int, flag int")
+    rates = abuse.user_rate(rows, 60, 60)
+    for bucket in (86_400, 50):
+        found = abuse.rate_alerts_as_of(rates, policies, warning=4, throttle=6, flag=8, bucket_seconds=bucket).collect()
+        got = {(r.user_id, int(r.window_end.timestamp() - at(0).timestamp()), r.event_type, r.threshold) for r in found}
+        # Windows end at 60, 120, ...; of the two versions of 180 the higher levels count; nulls are defaults.
+        assert got == {("a", 60, "Warning", 4), ("a", 120, "Warning", 2), ("a", 120, "Throttle", 3), ("a", 180, "Warning", 3),
+                       ("a", 240, "Warning", 4), ("a", 300, "Warning", 4), ("b", 60, "Warning", 4)}
+
+
 def test_records(chat):
     rows = chat([("a", "s", n * 0.01, "abc") for n in range(80)])
     stamp = F.lit("2026-01-15 10:31:05").cast("timestamp")

@@ -107,6 +107,50 @@ def test_retention(spark, rows, chat, tmp_path):
     assert kept.count() == 4 and kept.select("day").distinct().count() == 2
 
 
+def files(folder):
+    return {str(one.relative_to(folder)) for one in folder.rglob("*.parquet")}
+
+
+def test_delete_before_leaves_other_days_alone(spark, chat, tmp_path):
+    path = tmp_path / "stored"
+    rows = h.to_history(chat([(f"u{n}", ("s", "t")[n % 2], n * 20_000) for n in range(24)]))
+    h.write_history(rows, str(path))
+    before = files(path)
+    days = sorted({name.split("/")[0] for name in before})
+    assert len(days) == 6
+    h.delete_before(spark, str(path), at(2 * 86_400))
+    after, kept = files(path), h.read_history(spark, str(path)).drop("day")
+    assert sorted(kept.collect()) == sorted(h.retained(rows, at(2 * 86_400)).collect())
+    cut = {name.split("/")[0] for name in before ^ after}
+    assert cut == set(days[:3]) and {name.split("/")[0] for name in after} == set(days[2:])
+    h.delete_before(spark, str(path), at(3 * 86_400), "Channel:s")
+    scoped = files(path)
+    assert {name.split("/")[0] for name in after ^ scoped} == set(days[2:4])
+    expected = h.retained(h.retained(rows, at(2 * 86_400)), at(3 * 86_400), "Channel:s")
+    assert sorted(h.read_history(spark, str(path)).drop("day").collect()) == sorted(expected.collect())
+    h.delete_before(spark, str(path), at(3 * 86_400), "Channel:s")
+    assert files(path) == scoped
+    h.delete_before(spark, str(path), at(30 * 86_400), "Channel:s")
+    h.delete_before(spark, str(path), at(30 * 86_400))
+    assert files(path) == set() and h.stored_days(spark, str(path)) == []
+    h.delete_before(spark, str(tmp_path / "nothing"), at(0))
+
+
+def test_append_skips_files_of_other_times(spark, chat, tmp_path):
+    """The stored side of the anti-join is read between the batch's first and last time of a day only."""
+    path = str(tmp_path / "stored")
+    rows = h.to_history(chat([("a", f"s{n % 7}", n * 60) for n in range(400)]))
+    for part in range(4):
+        h.append_history(rows.filter(F.floor((F.unix_timestamp("created_at") - F.lit(int(at(0).timestamp()))) / 6_000) == part), path)
+    assert sorted(h.read_history(spark, path).drop("day").collect()) == sorted(rows.collect())
+    stored = h.read_history(spark, path)
+    days = {at(0).date(): (at(18_000), at(18_060))}
+    chosen = stored.filter(h._within(h.day_ranges(sorted(days)), days)).select(*h.KEY)
+    assert len(chosen.collect()) == 2
+    scan = chosen._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 100 < stored.filter(F.col("day") == F.lit(at(0).date())).count()
+
+
 def test_by_message_id(spark, rows, tmp_path):
     path = str(tmp_path / "ids")
     h.write_by_message_id(rows, path, 8)

@@ -14,9 +14,9 @@ from palaver.operators.presence import online_intervals, online_intervals_stream
 from palaver.schemas import CHAT_EVENT, MEMBERSHIP, PRESENCE_EVENT
 from palaver.sources.events import read_files, read_payload_files
 from palaver.sources.sinks import start_file_sink
-from palaver.streaming.ordered import gate_fixed_stream, gate_rolling_stream, presence_stream
+from palaver.streaming.ordered import fan_out_by_changes, gate_fixed_stream, gate_rolling_stream, presence_stream
 from palaver.streaming.pipelines import (
-    alerts_stream, analytics_stream, dedupe_stream, late_rows, start_chat_jobs, start_history_writer, with_event_time,
+    alerts_as_of_stream, alerts_stream, analytics_stream, dedupe_stream, late_rows, start_chat_jobs, start_history_writer, with_event_time,
 )
 from conftest import START, at
 from test_gates import random_calls
@@ -176,6 +176,55 @@ def test_fan_out(spark, chat, feed, drain):
     assert pick(drain(pairs)) == pick(fan_out(messages, members)) == {("m0000", "u1"), ("m0000", "u2"), ("m0001", "u2")}
 
 
+CHANGE = "scope_type string, scope_id string, user_id string, kind string, ts timestamp"
+
+
+def test_fan_out_by_changes_keeps_members_only_while_they_stay(spark, chat, feed, drain):
+    messages = chat([("a", "x", 5), ("a", "x", 10), ("a", "x", 15), ("a", "y", 5), ("a", "x", 5, "hi", "DirectMessage"),
+                     ("a", "x", 40), ("e", "z", 300), ("e", "z", 600)])
+    changes = spark.createDataFrame([
+        ("Channel", "x", "u1", "joined", at(0)), ("Channel", "x", "u2", "joined", at(5)), ("Channel", "x", "u1", "left", at(10)),
+        ("Channel", "x", "u1", "joined", at(10)), ("Channel", "x", "u1", "left", at(15)), ("Channel", "x", "u3", "left", at(2)),
+        ("Channel", "x", "u3", "joined", at(20)), ("Channel", "x", "u3", "left", at(20)), ("Channel", "x", "u2", "left", at(50)),
+        ("Channel", "z", "u9", "joined", at(290)), ("Channel", "z", "u8", "joined", at(600))], CHANGE)
+    late, soon = (messages.filter(f"sender_id {sign} 'e'") for sign in ("=", "<>"))
+    stream = fan_out_by_changes(
+        with_event_time(feed([soon, late.filter("message_id = 'm0006'"), late.filter("message_id = 'm0007'")])),
+        with_event_time(feed([changes.filter("ts < '2026-01-15 10:34:00'"), changes.filter("user_id = 'u9'"),
+                              changes.filter("user_id = 'u8'")], changes.schema), time="ts"), shares=3)
+    found = drain(stream)
+    assert {(r.message_id, r.user_id) for r in found.collect()} == {
+        ("m0000", "u1"), ("m0000", "u2"), ("m0001", "u1"), ("m0001", "u2"), ("m0002", "u2"), ("m0005", "u2"), ("m0006", "u9")}
+    # The last instant waits, in three shares of its scope. Of the members only u9 is left.
+    assert drain.state_rows[-1] == (3, 1)
+
+
+def test_a_busy_scope_is_dealt_over_its_shares(spark, chat, feed, drain):
+    messages = chat([("a", "x", n) for n in range(20)] + [("e", "y", 600)])
+    changes = spark.createDataFrame([("Channel", "x", f"u{n}", "joined", at(0)) for n in range(50)]
+                                    + [("Channel", "y", "end", "joined", at(600))], CHANGE)
+    stream = fan_out_by_changes(with_event_time(feed([messages])), with_event_time(feed([changes], changes.schema), time="ts"), 4)
+    found = drain(stream)
+    assert found.count() == 1000 and found.distinct().count() == 1000
+    assert found.filter("scope_id = 'x'").select(F.expr("pmod(xxhash64(user_id), 4)")).distinct().count() == 4
+
+
+def test_thresholds_change_while_the_stream_runs(spark, chat, feed, drain):
+    frames = [chat([(user, "s", 100 * part + n) for user in "ab" for n in range(5)]) for part in range(4)]
+    frames = [frame.withColumn("message_id", F.concat(F.lit(f"f{k}-"), "message_id")) for k, frame in enumerate(frames)]
+    schema = "user_id string, valid_from timestamp, warning int, throttle int, flag int"
+    versions = [spark.createDataFrame(rows, schema) for rows in (
+        [("a", at(0), 9, 10, 11)], [("a", at(150), 2, 9, 10), ("a", at(100_000), 1, 2, 3)], [("b", at(310), 3, 4, None)], [("c", at(0), 1, 2, 3)])]
+    rows = alerts_as_of_stream(feed([*frames, chat([("end", "s", 900)])]), feed(versions, versions[0].schema), 100, 100, 4, 50, 60)
+    found = {(r.user_id, int(r.window_end.timestamp() - START.timestamp()), r.event_type, r.threshold) for r in drain(rows).collect()}
+    plain = abuse.user_rate(frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3]), 100, 100)
+    expected = abuse.rate_alerts_as_of(plain, versions[0].unionByName(versions[1]).unionByName(versions[2]), warning=4, throttle=50, flag=60)
+    assert found == {(r.user_id, int(r.window_end.timestamp() - START.timestamp()), r.event_type, r.threshold) for r in expected.collect()}
+    assert {threshold for user, _, _, threshold in found if user == "a"} == {2} and {t for u, _, _, t in found if u == "b"} == {3, 4}
+    # Of a's versions the one in effect and the one to come are kept; those of b and c are one each.
+    assert drain.state_rows[-1][-1] == 4
+
+
 def payload_feed(spark, folder, frames):
     for frame in frames:
         frame.coalesce(1).write.mode("append").text(folder)
