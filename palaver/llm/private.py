@@ -127,29 +127,51 @@ def entity_of(span: Column) -> Column:
 
 
 def surroundings(held: DataFrame) -> DataFrame:
-    """A row for each term near a mention in the texts of ``mentioning``: (key, entity, term, start, end, context)."""
-    mentions = held.select("key", "text", "spans", F.explode("spans").alias("span"))
-    first = F.greatest(F.col("span.start") - AROUND, F.lit(0))
-    before = F.substring("text", first + 1, F.col("span.start") - first)
-    after = F.substring("text", F.col("span.end") + 1, F.lit(AROUND))
+    """A row for each term near a mention in the texts of ``mentioning``: (key, entity, term, start, end, context).
+
+    A text is cut into pieces of ``STEP`` characters once, and what surrounds a mention is put together from two of them,
+    so a text of many mentions costs as much a mention as one of few, and no row carries the text or its other spans.
+    """
+    def cut(both, first, size):
+        place = F.floor(first / STEP).cast("int")
+        two = F.concat(F.coalesce(F.get(both["pieces"], place), F.lit("")), F.coalesce(F.get(both["pieces"], place + 1), F.lit("")))
+        return F.substring(two, first - place * STEP + 1, size)
+
+    def around(both):
+        def one(span):
+            return let(F.greatest(span["start"] - AROUND, F.lit(0)), lambda first: F.struct(
+                entity_of(span).alias("entity"), first.alias("first"), span["start"].alias("start"), span["end"].alias("end"),
+                cut(both, first, span["start"] - first).alias("before"),
+                cut(both, span["end"], F.lit(AROUND)).alias("after")))
+
+        return F.transform(both["spans"], one)
+
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0))
+    mentions = held.select("key", F.explode(let(F.struct("spans", pieces.alias("pieces")), around)).alias("m")).select("key", "m.*")
     terms = F.concat(located(F.col("before"), TERMS, TERM, F.col("first")),
-                     located(F.col("after"), TERMS, TERM, F.col("span.end")))
+                     located(F.col("after"), TERMS, TERM, F.col("end")))
 
-    def whole(term):  # not cut by the edge of the surroundings, and outside of every mention
-        cut = ((term["start"] == F.col("first")) & (F.col("first") > 0)) | (term["end"] == F.col("span.end") + AROUND)
-        return ~cut & ~F.exists(F.col("spans"), lambda span: overlap(span, term))
+    def whole(term):  # not cut by the edge of the surroundings
+        return ~(((term["start"] == F.col("first")) & (F.col("first") > 0)) | (term["end"] == F.col("end") + AROUND))
 
-    return (
-        mentions.withColumn("first", first).withColumn("before", before).withColumn("after", after)
-        .withColumn("context", F.xxhash64("before", "after"))
-        .withColumn("term", F.explode(F.filter(terms, whole)))
-        .select("key", entity_of(F.col("span")).alias("entity"), F.lower("term.value").alias("term"), "term.start",
-                "term.end", "context")
-    )
+    found = mentions.select("key", "entity", F.xxhash64("before", "after").alias("context"),
+                            F.explode(F.filter(terms, whole)).alias("term"))
+    found = found.select("key", "entity", F.lower("term.value").alias("term"), "term.start", "term.end", "context")
+    return outside_of_mentions(found, held)
 
 
-def overlap(one: Column, other: Column) -> Column:
-    return (one["start"] < other["end"]) & (other["start"] < one["end"])
+def outside_of_mentions(found: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows (key, start, end, ...) that overlap no mention of their text. Both meet by text and stretch of ``STEP``
+    characters, however many a text has."""
+    def stretches(start, end):
+        return F.explode(F.sequence(F.floor(start / STEP), F.floor((end - 1) / STEP))).alias("stretch")
+
+    spans = held.select("key", F.explode("spans").alias("span")).select(
+        "key", F.col("span.start").alias("from"), F.col("span.end").alias("until"), stretches(F.col("span.start"), F.col("span.end")))
+    places = found.select("key", "start", "end").distinct()
+    placed = places.select("key", "start", "end", stretches(F.col("start"), F.col("end")))
+    inside = placed.join(spans, ["key", "stretch"]).filter((F.col("start") < F.col("until")) & (F.col("from") < F.col("end")))
+    return found.join(inside.select("key", "start", "end").distinct(), ["key", "start", "end"], "left_anti").select(*found.columns)
 
 
 def disclosures(near: DataFrame, docs: DataFrame, text: str, support: int, threshold: float) -> DataFrame:
@@ -206,6 +228,8 @@ def find_private(docs: DataFrame, text: str = "text", support: int = SUPPORT, th
         "key", F.lower("word.value").alias("term"), "word.start", "word.end")
     places = everywhere.union(near.select("key", "term", "start", "end")).join(terms, ["key", "term"])
     strongest = places.groupBy("key", "term", "start", "end").agg(F.max("share").alias("share"))
+    # Words of the mentions themselves are no terms.
+    strongest = outside_of_mentions(keep(strongest, "places"), held)
     span = F.struct(F.when(F.col("share") >= removal, F.lit(REMOVED_TERM)).otherwise(F.lit(TERM)).alias("kind"),
                     F.col("start"), F.col("end"), F.col("term").alias("value"))
     own = fresh(docs.columns, "_key")
@@ -215,11 +239,8 @@ def find_private(docs: DataFrame, text: str = "text", support: int = SUPPORT, th
     spread = F.monotonically_increasing_id()
     joined = salted_left_join(docs.withColumn(own, text_key(F.col(text))), marked, [own], spread, SALTS)
 
-    def outside(base):  # words of the mentions themselves are no terms
-        return F.concat(base, F.filter(F.coalesce(F.col(more), F.array().cast(SPAN)), lambda term: ~F.exists(
-            base, lambda mention: overlap(mention, term))))
-
-    return add_struct(joined, F.struct(let(base_spans(F.col(text)), outside).alias("spans")), ["spans"]).drop(own, more)
+    whole = F.concat(base_spans(F.col(text)), F.coalesce(F.col(more), F.array().cast(SPAN)))
+    return add_struct(joined, F.struct(whole.alias("spans")), ["spans"]).drop(own, more)
 
 
 def shown(spans: Column) -> Column:

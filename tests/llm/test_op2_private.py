@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -121,3 +122,19 @@ def test_overlapping_spans_are_cut_once(spark):
     spans = [("card", 3, 10, ""), ("phone", 0, 12, ""), ("email", 14, 15, "")]
     frame = spark.createDataFrame([("0123456789abcdefgh", spans)], f"text string, spans {private.SPAN}")
     assert frame.select(private.sanitise(F.col("text"), F.col("spans")).alias("t")).first().t == "[PHONE]cd[EMAIL]fgh"
+
+
+def test_many_mentions_in_one_text_cost_as_much_each_as_few(spark):
+    """Each mention has its own surroundings; terms inside other mentions are left out."""
+    count = 20_000
+    parts = [f"w{'abcdefghij'[n % 10] * 3} 10.{n // 65_536}.{n // 256 % 256}.{n % 256}" for n in range(count)]
+    text = " ".join(parts) + " name kim@corp.example end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.perf_counter()
+    near = private.surroundings(private.mentioning(docs, "text")).groupBy("term").count()
+    rows = {row["term"]: row["count"] for row in near.collect()}
+    assert time.perf_counter() - started < 120
+    assert {"name", "end"} <= set(rows) and not {"kim", "corp", "example"} & set(rows)
+    assert sum(rows.values()) > 4 * count
+    found = private.find_private(docs).select(F.size("spans").alias("n")).first()["n"]
+    assert found == count + 1 and time.perf_counter() - started < 240
