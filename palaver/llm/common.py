@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -56,6 +57,14 @@ def utf8(texts: pa.Array) -> list[bytes | None]:
     return texts.cast(pa.binary() if not pa.types.is_large_string(texts.type) else pa.large_binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once. A lambda works out anything else it refers to for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -4,17 +4,21 @@ Each text's set of hashed shingles is put into one global order, rare ones first
 counts over all texts in a fixed number of buckets, which any order may use without losing a pair. Two sets as similar
 as asked for share a shingle of their prefixes. So the prefixes are joined by shingle, and a pair must then pass the
 length filter, the positional filter, and the suffix filter: the sets are parted by hash into fixed parts, and the
-differences of the parts' sizes bound the sets' difference from below. What is left is verified once per pair on the
-whole sets.
+differences of the parts' sizes bound the sets' difference from below. Pairs never leave a task: what leaves the filters is
+the classes of a shingle that are in a pair. Their whole sets come to the shingle, once each, and the pairs are verified there.
+
+A pair meets at every shingle that both prefixes hold. It is passed over where the shingle before this one is the same in
+both, for it meets there too; and it counts only at the first shingle that both sets hold, which their prefixes hold as well.
 
 Texts with equal sets form one class, which takes part once. ``similar_links`` verifies every candidate pair of classes
-and counts each document's links. Where components alone are wanted, as in ``similar_components``, not all pairs of a
-large group are verified: a first round verifies for each class its few nearest candidates of each shingle; a second round
-every candidate pair that the links found so far do not connect. No component is missed by that. A shingle shared by many
-classes is dealt out as pairs of blocks, so no task sees more than two blocks of it.
+and counts each document's links. Where components alone are wanted, as in ``similar_components``, pairs that the links of
+their shingle already connect are passed over, and no component is missed by that. Either way a shingle leaves a spanning
+forest of its links, and no more rows than it has classes. A shingle shared by many classes, or by large ones, is dealt out
+as pairs of blocks, so no task holds more than two blocks of it.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing; with fewer words than a shingle has, the
-whole sequence is the only shingle. Repeated rows are one class. Rows without an id take part, but name no component.
+whole sequence is the only shingle. Repeated rows are one class. Rows without an id take part and link others, but name no
+component; a component of such rows alone has none.
 """
 
 from __future__ import annotations
@@ -29,15 +33,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import keep, salted_left_join, utf8
+from palaver.llm.common import give_back, keep, salted_left_join, utf8
 from palaver.llm.components import connected
+from palaver.llm.fingerprints import forest, whole_groups
 
 SIZE = 3
 PERCENT = 90
 BUCKET_BITS = 18
 PARTS = 128
+# Classes, and shingles of their sets, in a block.
 BLOCK = 1_000
-NEAREST = 3
+BLOCK_SHINGLES = 1 << 20
 SALTS = 16
 FILTER_WORDS = 1 << 14
 REMEMBERED = 100_000
@@ -81,6 +87,7 @@ def bucket_counts(docs: DataFrame, text: str, shingler: Shingler) -> np.ndarray:
         for start in range(0, len(places), 20_000):
             part = places[start:start + 20_000]
             yield pa.RecordBatch.from_pydict({"bucket": part.astype(np.int32), "n": sums[part]})
+        give_back()
 
     rows = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -93,6 +100,12 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
+def part_sizes(hashes: np.ndarray) -> np.ndarray:
+    """Sizes of a set's parts. Large ones are cut off, which leaves a lower bound of a difference one."""
+    by_part = np.bincount(((hashes >> np.uint64(8)) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+    return np.minimum(by_part, 255).astype(np.uint8)
+
+
 def signatures(docs: DataFrame, text: str, shingler: Shingler, percent: int, counts: np.ndarray) -> Column:
     """A struct of the set's fingerprint, its size, its prefix, rare shingles first, and its sizes by part."""
     shift = np.uint64(64 - BUCKET_BITS)
@@ -102,19 +115,19 @@ def signatures(docs: DataFrame, text: str, shingler: Shingler, percent: int, cou
         for batch in batches:
             prints, sizes, prefixes, ends, parts = [], [], [], [0], []
             for hashes in shingler.sets(utf8(batch)):
-                prints.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                prints.append(fingerprint(hashes))
                 sizes.append(len(hashes))
                 length = prefix_length(len(hashes), percent)
                 order = np.lexsort((hashes, counts[(hashes >> shift).astype(np.int64)]))
                 prefixes.append(hashes[order[:length]].view(np.int64))
                 ends.append(ends[-1] + length)
-                by_part = np.bincount(((hashes >> np.uint64(8)) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
-                parts.append(np.minimum(by_part, 255).astype(np.uint8).tobytes())
+                parts.append(part_sizes(hashes).tobytes())
             flat = np.concatenate(prefixes) if prefixes else np.array([], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.StructArray.from_arrays(
                 [pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(parts, pa.binary())],
                 ["fingerprint", "n", "prefix", "parts"])
+            give_back()
 
     return signed(F.col(text))
 
@@ -124,174 +137,243 @@ def overlap_needed(total: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * total // (100 + percent))
 
 
-def surviving_pairs(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers and least difference of all pairs within a group that pass the filters. Rows are sorted by group and
-    size; pairs are looked at by their distance in that order, for all groups together."""
-    group, n, place, parts = rows["group"], rows["n"], rows["place"], rows["parts"]
-    first, second, least = [], [], []
-    for step in range(1, len(group)):
-        i = np.flatnonzero(group[:-step] == group[step:])
+def surviving_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs within a group that pass the filters, some at a time. Rows are sorted by group and size;
+    ``block`` is a row's block in a group of two blocks, where only pairs of both are looked at, and -1 in a group of one;
+    ``before`` is the shingle before the group's own one in a row's prefix, of which ``first`` says whether there is none."""
+    group, n, place, parts, block = (rows[name] for name in ("group", "n", "place", "parts", "block"))
+    before, first = rows["before"], rows["first"]
+    step, i = 1, np.arange(len(group))
+    while True:
+        i = i[i + step < len(group)]
+        j = i + step
+        # Larger sets only come later, so a row that has met one too large is done.
+        i = i[(group[i] == group[j]) & (100 * n[i] >= percent * n[j])]
         if not len(i):
-            break
+            return
         j = i + step
-        near = (100 * n[i] >= percent * n[j]) & (rows["component"][i] != rows["component"][j])
-        i, j = i[near], j[near]
-        needed = overlap_needed(n[i] + n[j], percent)
-        rest = np.minimum(n[i] - place[i], n[j] - place[j])
-        near = np.minimum(place[i], place[j]) + rest >= needed
-        i, j, needed = i[near], j[near], needed[near]
-        apart = np.abs(parts[i].astype(np.int16) - parts[j]).sum(1, dtype=np.int64)
-        near = apart <= n[i] + n[j] - 2 * needed
-        first.append(i[near])
-        second.append(j[near])
-        least.append(apart[near])
-    if not first:
-        return (np.array([], np.int64),) * 3
-    return np.concatenate(first), np.concatenate(second), np.concatenate(least)
-
-
-def nearest(second: np.ndarray, least: np.ndarray, count: int) -> np.ndarray:
-    """Of all pairs, those that are among the nearest ``count`` of their second row."""
-    order = np.lexsort((least, second))
-    ordered = second[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    rank = np.arange(len(ordered)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(ordered)]])))
-    return order[rank < count]
-
-
-def candidates(shared: DataFrame, classes: DataFrame, percent: int, components: DataFrame | None,
-               every: bool = False) -> DataFrame:
-    """(a, b) pairs of classes to verify: the nearest ones, or every one, or, given components, all that lie in
-    different ones."""
-    known = classes.select("rep", "n", "parts")
-    if components is None:
-        known = known.withColumn("component", F.col("rep"))
-    else:
-        known = known.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep"))
-    rows = shared.join(known, "rep")
+        here = ((block[i] < 0) | (block[i] != block[j])) & (first[i] | first[j] | (before[i] != before[j]))
+        a, b = i[here], j[here]
+        needed = overlap_needed(n[a] + n[b], percent)
+        near = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b]) >= needed
+        a, b, needed = a[near], b[near], needed[near]
+        apart = np.abs(parts[a].astype(np.int16) - parts[b]).sum(1, dtype=np.int64)
+        near = apart <= n[a] + n[b] - 2 * needed
+        if near.any():
+            yield a[near], b[near]
+        step += 1
+
+
+def group_numbers(rows: pa.Table) -> np.ndarray:
+    token, low, high = (rows.column(name).to_numpy() for name in ("token", "low", "high"))
+    change = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return np.concatenate([[0], np.cumsum(change)])
+
+
+def pair_rows(rows: pa.Table, n: np.ndarray, parts: np.ndarray) -> dict[str, np.ndarray]:
+    """What ``surviving_pairs`` reads."""
+    low, high, block, place, before = (rows.column(name).to_numpy() for name in ("low", "high", "block", "place", "before"))
+    return {"group": group_numbers(rows), "n": n.astype(np.int64), "place": place.astype(np.int64), "parts": parts,
+            "block": np.where(low == high, -1, block), "before": before, "first": place == 0}
+
+
+GROUP = ["token", "low", "high"]
+PAIRED = "token long, low int, high int, node long, n int, place int, before long, block int"
+
+
+def paired(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The classes of each shingle, in pairs of its blocks, that are in a pair there which passes the filters."""
+    rows = shared.join(classes.select("node", "n", "parts"), "node")
     # Blocks of a shingle that many classes share meet in pairs of blocks, each pair in one group.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = rows.select("token", "rep", "n", "place", "parts", "component", "block", other)
-    paired = paired.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    all_pairs = every or components is not None
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            token, low, high = (batch.column(name).to_numpy() for name in ("token", "low", "high"))
-            change = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            rep = batch.column("rep").to_numpy()
-            parts = np.frombuffer(b"".join(batch.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
-            rows = {"group": np.concatenate([[0], np.cumsum(change)]), "n": batch.column("n").to_numpy().astype(np.int64),
-                    "place": batch.column("place").to_numpy().astype(np.int64), "parts": parts,
-                    "component": batch.column("component").to_numpy()}
-            i, j, least = surviving_pairs(rows, percent)
-            if len(i) and not all_pairs:
-                chosen = nearest(j, least, NEAREST)
-                i, j = i[chosen], j[chosen]
-            both = np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])], 1), axis=0)
-            if len(both):
-                yield pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
-
-    grouped = paired.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "rep")
-    return grouped.select("token", "low", "high", "rep", "n", "place", "parts", "component").mapInArrow(
-        pairs, "a long, b long").distinct()
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows again, cut between groups only. A group has two blocks at most, so little is held back."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        keys = [table.column(name).to_numpy() for name in ("token", "low", "high")]
-        last = np.logical_and.reduce([key == key[-1] for key in keys]) if len(table) else np.array([], bool)
-        start = len(table) - int(last[::-1].argmin()) if len(table) and not last.all() else 0
-        if start:
-            yield table.slice(0, start)
-        rest = table.slice(start)
-    if rest is not None and len(rest):
-        yield rest
-
-
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingler: Shingler, percent: int) -> DataFrame:
-    """The pairs that are as similar as asked for, by their whole sets."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    rows = rows.select("token", "node", "n", "place", "before", "parts", "block", other)
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, tuple(GROUP)):
+            parts = np.frombuffer(b"".join(table.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
+            alive = np.zeros(len(table), bool)
+            for a, b in surviving_pairs(pair_rows(table, table.column("n").to_numpy(), parts), percent):
+                alive[a] = alive[b] = True
+            if alive.any():
+                yield from table.drop_columns(["parts"]).filter(pa.array(alive)).to_batches()
+        give_back()
+
+    grouped = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "n", "node")
+    return grouped.select(*[field.split()[0] for field in PAIRED.split(", ")], "parts").mapInArrow(found, PAIRED)
+
+
+def whole_sets(wanted: DataFrame, docs: DataFrame, shingler: Shingler) -> DataFrame:
+    """(node, set) of the wanted classes, once each, from the texts of their rows."""
     # A bitmap of fixed size over hashes of the ids keeps most other texts out of the join.
-    slot = F.pmod(F.xxhash64("rep"), F.lit(64 * FILTER_WORDS))
+    slot = F.pmod(F.xxhash64("node"), F.lit(64 * FILTER_WORDS))
     bits = wanted.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits")).collect()
     bitmap = [0] * FILTER_WORDS
     for row in bits:
         bitmap[row["word"]] = row["bits"]
     constant = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
-    own = F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(64 * FILTER_WORDS))
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
     likely = docs.filter(F.getbit(F.get(constant, F.floor(own / 64).cast("int")), F.pmod(own, F.lit(64)).cast("int")) == 1)
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("fingerprint binary, set binary")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([hashes.view(np.int64) for hashes in shingler.sets(utf8(batch))], pa.list_(pa.int64()))
-
-    whole = likely.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep")
-    whole = whole.withColumn("set", sets("text")).select("rep", "set")
-    joined = pairs.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return joined.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct()
+            found = list(shingler.sets(utf8(batch)))
+            yield pa.StructArray.from_arrays([pa.array(map(fingerprint, found), pa.binary()),
+                                              pa.array([hashes.tobytes() for hashes in found], pa.binary())], ["fingerprint", "set"])
+            give_back()
+
+    named = likely.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
+    named = named.select("node", sets("text").alias("s")).select("node", "s.set")
+    # Classes of rows without an id are known by their set alone.
+    unnamed = docs.filter("doc_id IS NULL").select(sets("text").alias("s")).select(
+        F.xxhash64("s.fingerprint").alias("node"), "s.set").join(wanted, "node")
+    return named.unionByName(unnamed.groupBy("node").agg(F.first("set").alias("set")))
+
+
+def set_links(hashes: list[np.ndarray], members: np.ndarray, token: int, pairs: list[tuple[np.ndarray, np.ndarray]],
+              percent: int, counts: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one group: a spanning forest of its links, and how many members each row is linked with at this shingle."""
+    ends = np.cumsum([len(row) for row in hashes])
+    starts, n = ends - [len(row) for row in hashes], np.array([len(row) for row in hashes])
+    words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    order = np.lexsort((words, counts[(words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    ids = rank[place]
+    own = [np.sort(ids[start:end]) for start, end in zip(starts, ends)]
+    here = rank[np.searchsorted(words, np.uint64(token))]
+    left, right = (np.concatenate(part) for part in zip(*pairs))
+    by_left = np.argsort(left, kind="stable")
+    left, right = left[by_left], right[by_left]
+    label, linked, edges = np.arange(len(hashes)), np.zeros(len(hashes), np.int64), []
+    held = np.zeros(len(words), bool)
+    for start, end in zip(*_stretches(left)):
+        a, b = left[start], right[start:end]
+        if not every:
+            b = b[label[b] != label[a]]
+        if not len(b):
+            continue
+        held[own[a]] = True
+        joined = np.concatenate([own[row] for row in b])
+        cuts = np.cumsum(n[b]) - n[b]
+        hit = held[joined]
+        held[own[a]] = False
+        common = np.add.reduceat(hit, cuts, dtype=np.int64)
+        places = np.flatnonzero(hit)
+        # The first common shingle: both hold the group's own one, so there is one.
+        earliest = joined[places[np.searchsorted(places, cuts)]]
+        alike = (100 * common >= percent * (n[a] + n[b] - common)) & (earliest == here)
+        b = b[alike]
+        linked[a] += members[b].sum()
+        linked[b] += members[a]
+        from_a = np.full(len(b), a)
+        picked = forest(label, from_a, b)
+        edges += zip(from_a[picked], b[picked])
+    if not edges:
+        return np.array([], np.int64), np.array([], np.int64), linked
+    first, second = np.array(edges).T
+    return first, second, linked
+
+
+def _stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return starts, np.concatenate([starts[1:], [len(values)]])
+
+
+def verified(candidates: DataFrame, sets: DataFrame, members: DataFrame | None, percent: int, counts: np.ndarray) -> DataFrame:
+    """Rows (a, b, null), links that connect what any links connect, and, given the classes' members, (a, null, linked):
+    how many members of other classes ``a`` is linked with, in parts to be summed."""
+    every = members is not None
+    rows = candidates.join(sets, "node")
+    rows = rows.join(members, "node") if every else rows.withColumn("members", F.lit(1).cast("long"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, tuple(GROUP), 1):
+            node, token, members = (table.column(name).to_numpy() for name in ("node", "token", "members"))
+            whole = [np.frombuffer(value, np.uint64) for value in table.column("set").to_pylist()]
+            parts = np.stack([part_sizes(hashes) for hashes in whole])
+            rows = pair_rows(table, np.array([len(hashes) for hashes in whole]), parts)
+            found = list(surviving_pairs(rows, percent))
+            for start, end in zip(*_stretches(rows["group"])):
+                mine = [(a[inside] - start, b[inside] - start) for a, b in found
+                        if (inside := (a >= start) & (a < end)).any()] if len(table) > end - start else found
+                if not mine:
+                    continue
+                a, b, linked = set_links(whole[start:end], members[start:end], token[start:start + 1].view(np.uint64)[0], mine,
+                                         percent, counts, every)
+                a, b = node[start:end][a], node[start:end][b]
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": a, "b": b, "linked": pa.nulls(len(a), pa.int64())})
+                some = np.flatnonzero(linked)
+                if every and len(some):
+                    yield pa.RecordBatch.from_pydict(
+                        {"a": node[start:end][some], "b": pa.nulls(len(some), pa.int64()), "linked": linked[some]})
+        give_back()
+
+    grouped = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "n", "node")
+    return grouped.mapInArrow(found, "a long, b long, linked long")
+
+
+def fingerprint(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def class_members(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fingerprint, node, members): rows that repeat an id are one document, each row without id is one."""
+    rows = signed.filter("n > 0").groupBy("fingerprint", "doc_id").agg(F.count("*").alias("rows"))
+    sizes = rows.groupBy("fingerprint").agg(
+        F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("members"))
+    return sizes.join(classes.select("fingerprint", "node"), "fingerprint")
 
 
-def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
-                   every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The signatures of the rows; the classes that have an id; and links (a, b) between those, all or enough of them."""
+def joined_documents(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, every: bool) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, and with ``every`` its ``n_links``."""
     shingler = Shingler(size)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     counts = bucket_counts(plain, "text", shingler)
     signed = keep(plain.select("doc_id", signatures(plain, "text", shingler, percent, counts).alias("s")).select("doc_id", "s.*"),
                   "signatures")
-    classes = keep(signed.filter("n > 0").groupBy("fingerprint").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")),
-        "classes")
-    alive = classes.filter("rep IS NOT NULL")
-    prefixes = alive.select("rep", F.posexplode("prefix").alias("place", "token"))
-    shares = prefixes.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1")
-    blocks = F.ceil(F.col("classes") / BLOCK).cast("int")
-    shared = keep(prefixes.join(shares, "token").select("token", "rep", "place", blocks.alias("blocks")).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "shared")
-    first = keep(verified(keep(candidates(shared, alive, percent, None, every), "pairs"), plain, "doc_id", "text", shingler,
-                          percent), "near")
+    classes = signed.filter("n > 0").groupBy("fingerprint").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
+    classes = keep(classes.withColumn("node", F.coalesce("rep", F.xxhash64("fingerprint"))), "classes")
+    prefixes = classes.select("node", "n", "prefix", F.posexplode("prefix").alias("place", "token"))
+    prefixes = prefixes.select("node", "n", "place", "token", F.coalesce(F.get("prefix", F.col("place") - 1), F.lit(0)).alias("before"))
+    shares = prefixes.groupBy("token").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).filter("classes > 1")
+    blocks = F.ceil(F.greatest(F.col("classes") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    shared = prefixes.drop("n").join(shares, "token").withColumn("blocks", blocks).select(
+        "token", "node", "place", "before", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    candidates = keep(paired(shared, classes, percent), "paired")
+    sets = whole_sets(candidates.select("node").distinct(), plain, shingler)
+    members = keep(class_members(signed, classes), "members") if every else None
+    found = keep(verified(candidates, sets, members.select("node", "members") if every else None, percent, counts), "near")
+
+    component = connected(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "_node")
+    nodes = keep(classes.select("fingerprint", "node", "rep").join(component, F.col("node") == F.col("_node"), "left").select(
+        "fingerprint", "node", "rep", F.coalesce("component", "node").alias("component")), "nodes")
+    least = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = salted_left_join(nodes, least, ["component"], F.col("node"), SALTS).select("fingerprint", "node", "component_id")
     if every:
-        return signed, alive, first
-    cross = keep(candidates(shared, alive, percent, connected(first)), "pairs")
-    return signed, alive, first.union(verified(cross, plain, "doc_id", "text", shingler, percent))
+        linked = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
+        named = named.join(members.select("node", "members"), "node").join(linked, "node", "left").select(
+            "fingerprint", "component_id", (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    named = named.drop("node")
+    rows = salted_left_join(signed.select("doc_id", "fingerprint", "n"), named, ["fingerprint"], F.col("doc_id"), SALTS)
+    # A text without shingles has no class: its row is its own component.
+    single = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), single, *links)
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
                        percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row. Ids are whole numbers, different for different texts."""
-    signed, alive, links = linked_classes(docs, doc_id, text, size, percent, False)
-    named = alive.select("fingerprint", "rep").join(connected(links).withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("fingerprint", F.coalesce("component", "rep").alias("component"))
-    found = salted_left_join(signed.select("doc_id", "fingerprint", "n"), named, ["fingerprint"], F.col("doc_id"), SALTS)
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                        F.coalesce("component", "doc_id").alias("component_id"))
+    return joined_documents(docs, doc_id, text, size, percent, False)
 
 
 def similar_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
                   percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row, ``n_links`` being the number of other documents as
     similar as asked for. Rows that repeat an id are one document, each row without id is one."""
-    signed, alive, links = linked_classes(docs, doc_id, text, size, percent, True)
-    rows = signed.filter("n > 0").groupBy("fingerprint", "doc_id").agg(F.count("*").alias("rows"))
-    members = rows.groupBy("fingerprint").agg(
-        F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("members"))
-    sizes = keep(members.join(alive.select("fingerprint", "rep"), "fingerprint", "left"), "sizes")
-    both = links.union(links.select("b", "a")).toDF("rep", "other")
-    other = sizes.filter("rep IS NOT NULL").select(F.col("rep").alias("other"), "members")
-    linked = salted_left_join(both, other, ["other"], F.col("rep"), SALTS).groupBy("rep").agg(F.sum("members").alias("linked"))
-    named = sizes.join(connected(links).withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left")
-    named = named.select("fingerprint", F.coalesce("component", "rep").alias("component"),
-                         (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    found = salted_left_join(signed.select("doc_id", "fingerprint", "n"), named, ["fingerprint"], F.col("doc_id"), SALTS)
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                        F.coalesce("component", "doc_id").alias("component_id"),
-                        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return joined_documents(docs, doc_id, text, size, percent, True)

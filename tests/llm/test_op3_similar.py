@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from palaver.llm import components, similar
+from palaver.llm import components, fingerprints, similar
 
 
 def word_set(text):
@@ -104,7 +104,8 @@ def test_components_of_paths_and_stars(spark):
 
 def test_groups_are_cut_whole():
     table = pa.table({"token": [1, 1, 1, 2, 2, 3], "low": [0] * 6, "high": [0] * 6})
-    parts = [t.column("token").to_pylist() for t in similar._whole_groups(iter(table.to_batches(max_chunksize=2)))]
+    parts = [t.column("token").to_pylist() for t in fingerprints.whole_groups(
+        iter(table.to_batches(max_chunksize=2)), ("token", "low", "high"), 1)]
     assert sum(parts, []) == [1, 1, 1, 2, 2, 3]
     assert all(not set(a) & set(b) for i, a in enumerate(parts) for b in parts[:i])
 
