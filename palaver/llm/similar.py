@@ -5,10 +5,11 @@ counts over all texts in a fixed number of buckets, which any order may use with
 as asked for share a shingle of their prefixes. So the prefixes are joined by shingle, and a pair must then pass the
 length filter, the positional filter, and the suffix filter: the sets are parted by hash into fixed parts, and the
 differences of the parts' sizes bound the sets' difference from below. Pairs never leave a task: what leaves the filters is
-the classes of a shingle that are in a pair. Their whole sets come to the shingle, once each, and the pairs are verified there.
+the classes of a shingle that are in a pair. Their whole texts come to the shingle, once each, and the pairs are verified there.
 
-A pair meets at every shingle that both prefixes hold. It is passed over where the shingle before this one is the same in
-both, for it meets there too; and it counts only at the first shingle that both sets hold, which their prefixes hold as well.
+A pair meets at every shingle that both prefixes hold. It is passed over where both hold one of the few shared shingles
+just before as well, for it meets there too; and it counts only at the first shingle that both sets hold, which their
+prefixes hold as well.
 
 Texts with equal sets form one class, which takes part once. ``similar_links`` verifies every candidate pair of classes
 and counts each document's links. Where components alone are wanted, as in ``similar_components``, pairs that the links of
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver.llm.common import give_back, keep, salted_left_join, utf8
@@ -44,6 +46,8 @@ PARTS = 128
 # Classes, and shingles of their sets, in a block.
 BLOCK = 1_000
 BLOCK_SHINGLES = 1 << 20
+# Shared shingles before a shingle that are looked at.
+BEFORE = 3
 SALTS = 16
 FILTER_WORDS = 1 << 14
 REMEMBERED = 100_000
@@ -140,9 +144,9 @@ def overlap_needed(total: np.ndarray, percent: int) -> np.ndarray:
 def surviving_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of all pairs within a group that pass the filters, some at a time. Rows are sorted by group and size;
     ``block`` is a row's block in a group of two blocks, where only pairs of both are looked at, and -1 in a group of one;
-    ``before`` is the shingle before the group's own one in a row's prefix, of which ``first`` says whether there is none."""
+    ``before`` are shared shingles before the group's own one in a row's prefix, the own one standing for none."""
     group, n, place, parts, block = (rows[name] for name in ("group", "n", "place", "parts", "block"))
-    before, first = rows["before"], rows["first"]
+    token, before = rows["token"], rows["before"]
     step, i = 1, np.arange(len(group))
     while True:
         i = i[i + step < len(group)]
@@ -152,8 +156,13 @@ def surviving_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple
         if not len(i):
             return
         j = i + step
-        here = ((block[i] < 0) | (block[i] != block[j])) & (first[i] | first[j] | (before[i] != before[j]))
+        here = (block[i] < 0) | (block[i] != block[j])
         a, b = i[here], j[here]
+        earlier = np.zeros(len(a), bool)
+        for one in before:
+            for other in before:
+                earlier |= (one[a] == other[b]) & (one[a] != token[a])
+        a, b = a[~earlier], b[~earlier]
         needed = overlap_needed(n[a] + n[b], percent)
         near = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b]) >= needed
         a, b, needed = a[near], b[near], needed[near]
@@ -172,21 +181,27 @@ def group_numbers(rows: pa.Table) -> np.ndarray:
 
 def pair_rows(rows: pa.Table, n: np.ndarray, parts: np.ndarray) -> dict[str, np.ndarray]:
     """What ``surviving_pairs`` reads."""
-    low, high, block, place, before = (rows.column(name).to_numpy() for name in ("low", "high", "block", "place", "before"))
+    token, low, high, block, place = (rows.column(name).to_numpy() for name in ("token", "low", "high", "block", "place"))
     return {"group": group_numbers(rows), "n": n.astype(np.int64), "place": place.astype(np.int64), "parts": parts,
-            "block": np.where(low == high, -1, block), "before": before, "first": place == 0}
+            "block": np.where(low == high, -1, block), "token": token,
+            "before": [rows.column(name).to_numpy() for name in EARLIER]}
 
 
 GROUP = ["token", "low", "high"]
-PAIRED = "token long, low int, high int, node long, n int, place int, before long, block int"
+EARLIER = [f"before{number}" for number in range(1, BEFORE + 1)]
+PAIRED = ", ".join(["token long, low int, high int, node long, n int, place int, block int", *[f"{name} long" for name in EARLIER]])
 
 
 def paired(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The classes of each shingle, in pairs of its blocks, that are in a pair there which passes the filters."""
-    rows = shared.join(classes.select("node", "n", "parts"), "node")
+    # The order and the join are both by class: one exchange.
+    in_order = W.partitionBy("node").orderBy("place")
+    before = [F.coalesce(F.lag("token", number).over(in_order), F.col("token")).alias(name)
+              for number, name in enumerate(EARLIER, 1)]
+    rows = shared.select("*", *before).join(classes.select("node", "n", "parts"), "node")
     # Blocks of a shingle that many classes share meet in pairs of blocks, each pair in one group.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("token", "node", "n", "place", "before", "parts", "block", other)
+    rows = rows.select("token", "node", "n", "place", *EARLIER, "parts", "block", other)
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +218,8 @@ def paired(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return grouped.select(*[field.split()[0] for field in PAIRED.split(", ")], "parts").mapInArrow(found, PAIRED)
 
 
-def whole_sets(wanted: DataFrame, docs: DataFrame, shingler: Shingler) -> DataFrame:
-    """(node, set) of the wanted classes, once each, from the texts of their rows."""
+def whole_texts(wanted: DataFrame, docs: DataFrame, shingler: Shingler) -> DataFrame:
+    """(node, text) of the wanted classes, once each: equal sets, so any of their texts will do."""
     # A bitmap of fixed size over hashes of the ids keeps most other texts out of the join.
     slot = F.pmod(F.xxhash64("node"), F.lit(64 * FILTER_WORDS))
     bits = wanted.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(
@@ -216,20 +231,16 @@ def whole_sets(wanted: DataFrame, docs: DataFrame, shingler: Shingler) -> DataFr
     own = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
     likely = docs.filter(F.getbit(F.get(constant, F.floor(own / 64).cast("int")), F.pmod(own, F.lit(64)).cast("int")) == 1)
 
-    @F.arrow_udf("fingerprint binary, set binary")
-    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    named = likely.select(F.col("doc_id").alias("node"), "text")
+
+    @F.arrow_udf("binary")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = list(shingler.sets(utf8(batch)))
-            yield pa.StructArray.from_arrays([pa.array(map(fingerprint, found), pa.binary()),
-                                              pa.array([hashes.tobytes() for hashes in found], pa.binary())], ["fingerprint", "set"])
-            give_back()
+            yield pa.array([fingerprint(hashes) for hashes in shingler.sets(utf8(batch))], pa.binary())
 
-    named = likely.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
-    named = named.select("node", sets("text").alias("s")).select("node", "s.set")
     # Classes of rows without an id are known by their set alone.
-    unnamed = docs.filter("doc_id IS NULL").select(sets("text").alias("s")).select(
-        F.xxhash64("s.fingerprint").alias("node"), "s.set").join(wanted, "node")
-    return named.unionByName(unnamed.groupBy("node").agg(F.first("set").alias("set")))
+    unnamed = docs.filter("doc_id IS NULL").select(F.xxhash64(prints("text")).alias("node"), "text")
+    return named.unionByName(unnamed).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def set_links(hashes: list[np.ndarray], members: np.ndarray, token: int, pairs: list[tuple[np.ndarray, np.ndarray]],
@@ -282,17 +293,18 @@ def _stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.concatenate([starts[1:], [len(values)]])
 
 
-def verified(candidates: DataFrame, sets: DataFrame, members: DataFrame | None, percent: int, counts: np.ndarray) -> DataFrame:
+def verified(candidates: DataFrame, texts: DataFrame, members: DataFrame | None, shingler: Shingler, percent: int,
+             counts: np.ndarray) -> DataFrame:
     """Rows (a, b, null), links that connect what any links connect, and, given the classes' members, (a, null, linked):
     how many members of other classes ``a`` is linked with, in parts to be summed."""
     every = members is not None
-    rows = candidates.join(sets, "node")
+    rows = candidates.join(texts, "node")
     rows = rows.join(members, "node") if every else rows.withColumn("members", F.lit(1).cast("long"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, tuple(GROUP), 1):
             node, token, members = (table.column(name).to_numpy() for name in ("node", "token", "members"))
-            whole = [np.frombuffer(value, np.uint64) for value in table.column("set").to_pylist()]
+            whole = list(shingler.sets(utf8(table.column("text").combine_chunks())))
             parts = np.stack([part_sizes(hashes) for hashes in whole])
             rows = pair_rows(table, np.array([len(hashes) for hashes in whole]), parts)
             found = list(surviving_pairs(rows, percent))
@@ -338,16 +350,16 @@ def joined_documents(docs: DataFrame, doc_id: str, text: str, size: int, percent
     classes = signed.filter("n > 0").groupBy("fingerprint").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
     classes = keep(classes.withColumn("node", F.coalesce("rep", F.xxhash64("fingerprint"))), "classes")
-    prefixes = classes.select("node", "n", "prefix", F.posexplode("prefix").alias("place", "token"))
-    prefixes = prefixes.select("node", "n", "place", "token", F.coalesce(F.get("prefix", F.col("place") - 1), F.lit(0)).alias("before"))
+    prefixes = classes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     shares = prefixes.groupBy("token").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).filter("classes > 1")
     blocks = F.ceil(F.greatest(F.col("classes") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     shared = prefixes.drop("n").join(shares, "token").withColumn("blocks", blocks).select(
-        "token", "node", "place", "before", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        "token", "node", "place", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     candidates = keep(paired(shared, classes, percent), "paired")
-    sets = whole_sets(candidates.select("node").distinct(), plain, shingler)
+    texts = whole_texts(candidates.select("node").distinct(), plain, shingler)
     members = keep(class_members(signed, classes), "members") if every else None
-    found = keep(verified(candidates, sets, members.select("node", "members") if every else None, percent, counts), "near")
+    found = keep(verified(candidates, texts, members.select("node", "members") if every else None, shingler, percent, counts),
+                 "near")
 
     component = connected(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "_node")
     nodes = keep(classes.select("fingerprint", "node", "rep").join(component, F.col("node") == F.col("_node"), "left").select(

@@ -93,6 +93,14 @@ def test_empty_table_and_missing_ids(spark):
     assert rows == [(-1, 2, -1), (-1, 2, 7), (7, 2, 7), (7, 2, 7)]
 
 
+def test_classes_without_ids_link(spark):
+    base = [f"w{n}" for n in range(100)]
+    rows = [(None, " ".join(base[:n] + ["x"] + base[n + 1:])) for n in (10, 40)] + [(9, " ".join(base)), (None, "q r s t"), (None, "q r s t")]
+    docs = spark.createDataFrame([rows[0], *rows], "doc_id long, text string")
+    found = [(-1 if row.doc_id is None else row.doc_id, row.component_id, row.n_links) for row in similar.similar_links(docs).collect()]
+    assert sorted(found, key=str) == sorted([(-1, 9, 2)] * 2 + [(-1, 9, 1), (9, 9, 3)] + [(-1, None, 1)] * 2, key=str)
+
+
 def test_components_of_paths_and_stars(spark):
     chance = random.Random(2)
     path = list(range(1000, 1120))
