@@ -462,6 +462,15 @@ SELECT count(*) AS scopes, CAST(sum(n) AS BIGINT) AS total_rows, max(n) AS max_r
 FROM sizes"""
 ORACLES["time_bucket_sizes"] = f"""WITH {CHAT_HISTORY}
 SELECT scope_key, {iso("date_trunc('day', created_at)")} AS time_bucket, count(*) AS rows FROM history GROUP BY ALL"""
+ORACLES["bucket_widths"] = f"""WITH {CHAT_HISTORY},
+filled AS (SELECT scope_key, CAST(w AS INTEGER) AS w, count(*) AS n FROM history, (VALUES (604800), (86400), (21600), (3600)) AS widths(w)
+  GROUP BY scope_key, w, epoch_us(created_at) // (w * 1000000::BIGINT)),
+measured AS (SELECT scope_key, w, CAST(sum(n) AS BIGINT) AS rows, max(n) AS largest FROM filled GROUP BY scope_key, w)
+SELECT scope_key, w AS bucket_seconds, rows, largest FROM measured WHERE largest <= 20 OR w = 3600
+QUALIFY row_number() OVER (PARTITION BY scope_key ORDER BY w DESC) = 1"""
+ORACLES["bucketed_history_table"] = ORACLES["append_history_table"]
+ORACLES["bucketed_history_range"] = ORACLES["history_range"]
+ORACLES["bucketed_next_page"] = ORACLES["next_page"]
 ORACLES["retention_by_scope"] = f"""WITH {CHAT_HISTORY}
 SELECT scope_key, {iso('created_at')} AS created_at, message_id FROM history
 WHERE NOT (scope_key = 'Channel:view-3' AND created_at < {TO})"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palaver.functions.ids import resolve_user_id, resolve_user_name
 from palaver.functions.scope import parse_scope_key, parse_scope_key_leniently, scope_key
 from palaver.functions.text import preview_bytes, preview_characters
-from palaver.operators import abuse, admission, analytics, content, decode, delivery, history, logs, presence
+from palaver.operators import abuse, admission, analytics, buckets, content, decode, delivery, history, logs, presence
 from palaver.plans import views
 from palaver.plans.views import plain
 from palaver.session import shared_folder
@@ -25,6 +25,7 @@ PRESENCE_CUT = "2024-01-20 12:00:00"
 STORED_BEFORE = "2024-01-16"
 SCOPE = ("Channel", "view-3")
 FROM, TO = "2024-01-08 00:00:00", "2024-01-22 00:00:00"
+BUCKET_ROWS = 20
 NOW = "2026-01-15 10:31:05"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +370,39 @@ def time_bucket_sizes(spark, sf_dir):
     return plain(history.time_bucket_sizes(_history(spark, sf_dir)))
 
 
+@query
+def bucket_widths(spark, sf_dir):
+    return buckets.bucket_widths(_history(spark, sf_dir), BUCKET_ROWS)
+
+
+@query
+def bucketed_history_table(spark, sf_dir):
+    """A bucketed table below the shared folder after two writes, replays of both, and compaction, read back."""
+    path = shared_folder(spark, "buckets")
+    incoming = history.to_history(views.redelivered(spark, sf_dir))
+    early = incoming.filter(F.col("created_at") < F.lit(STORED_BEFORE).cast("timestamp"))
+    for batch, write in ((early, "early"), (incoming, "all"), (early, "early"), (incoming, "again")):
+        buckets.append_buckets(batch, path, write, BUCKET_ROWS)
+    buckets.compact_buckets(spark, path, "compact", BUCKET_ROWS)
+    return plain(buckets.read_buckets(spark, path).drop("bucket_seconds", "bucket_start"))
+
+
+def _bucketed(spark, sf_dir):
+    path = shared_folder(spark, "buckets")
+    buckets.append_buckets(_history(spark, sf_dir), path, "all", BUCKET_ROWS)
+    return path
+
+
+@query
+def bucketed_history_range(spark, sf_dir):
+    return plain(buckets.find_history(spark, _bucketed(spark, sf_dir), *SCOPE, from_time=FROM, to_time=TO, limit=25))
+
+
+@query
+def bucketed_next_page(spark, sf_dir):
+    return plain(buckets.find_history(spark, _bucketed(spark, sf_dir), *SCOPE, after=(FROM, "0"), limit=25))
+
+
 @query
 def retention_by_scope(spark, sf_dir):
     return plain(history.retained(_history(spark, sf_dir), TO, scope=":".join(SCOPE)).select("scope_key", "created_at",

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from palaver.operators.abuse import alerts_of_levels, check_thresholds, rate_alerts, user_rate
 from palaver.operators.analytics import scope_analytics
+from palaver.operators.buckets import append_buckets
 from palaver.operators.decode import decode_events, quarantine
 from palaver.operators.history import append_history, to_history
 from palaver.sources.sinks import analytics_records, rate_limit_records
@@ -116,6 +117,21 @@ def start_history_writer(
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
+def start_bucket_writer(
+    rows: DataFrame, path: str, checkpoint: str, job: str, every: str | None = None, **layout
+) -> StreamingQuery:
+    """Append a stream of history rows to the bucketed table at ``path``, exactly once.
+
+    A micro-batch is one write, named by the job and its number. The table records it in the moment its rows show, so a
+    batch that is run again after that does nothing. ``layout`` goes to ``append_buckets``.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        append_buckets(batch, path, f"{job}-{number}", **layout)
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
 def late_rows(events: DataFrame, watermark, time: str = "created_at") -> DataFrame:
     """Batch audit: the rows a stream at this watermark would have dropped."""
     return events.filter(F.col(time) <= F.lit(watermark).cast("timestamp"))
