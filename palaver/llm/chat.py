@@ -6,10 +6,15 @@ references are kept in order beside the string. Turns are then marked and joined
 
 The template is ``<s>`` once, then for each turn ``[INST]role\\ncontent[/INST]``, and for the assistant a closing
 ``</s>`` behind it. Control strings in roles and texts are escaped: backslashes are doubled and each control string
-gets a backslash behind its first character. Dropping every single backslash undoes both, so texts come back exactly.
+gets a backslash behind its first character; a line end in a role, which would end it, gets one before it. Dropping every
+single backslash undoes all of them, so texts come back exactly.
+
+An image of more than ``MAX_PATCHES`` patches expands to that many tokens, since image encoders scale larger ones down to
+their limit; its reference is kept as any other. Audio and documents expand in full.
 
 Formatting a turn needs nothing but its row. Joining a conversation gathers its turns, because the string is one value;
-the turns themselves (``format_turns``) stay rows, for uses that need no joined string.
+the turns themselves (``format_turns``) stay rows, for uses that need no joined string. Where a turn begins in the string
+is a running sum over the conversation's sorted rows, so the work grows with the turns, not with their square.
 
 Defined cases: a null text, role or part is empty; rows order by turn (null first), then role, then text; equal rows
 are all kept; rows with a null conversation id form one conversation. An empty table gives no row.
@@ -18,6 +23,7 @@ are all kept; rows with a null conversation id form one conversation. An empty t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver.llm.common import fresh
@@ -45,6 +51,10 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def role_string(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\\n"))
+
+
 def text_part(text: Column) -> Column:
     """A plain text as a list of one part."""
     part = F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), text, F.lit("ref"), F.lit(None).cast("string"),
@@ -79,7 +89,7 @@ def format_turns(turns: DataFrame, role: str = "role", parts: str = "parts") ->
     content = fresh(turns.columns, "_content")
     known_parts = F.filter(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda part: part.isNotNull())
     speaker = F.coalesce(F.col(role), F.lit(""))
-    head = F.concat(F.lit(OPEN), escape(speaker), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), role_string(speaker), F.lit("\n"))
     attached = F.transform(
         F.filter(known_parts, lambda part: part["type"].isin(*PLACEHOLDERS)),
         lambda part: F.struct(part["type"].alias("type"), part["ref"].alias("ref"), expanded_tokens(part).alias("tokens")))
@@ -100,20 +110,22 @@ def format_conversations(turns: DataFrame, conversation: str = "conv_id", turn:
     content = fresh(turns.columns, "parts")
     visited = turns.select(conversation, turn, role, text, (F.col(parts) if parts else text_part(F.col(text))).alias(content))
     done = format_turns(visited, role, content)
-    row = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), "formatted", "loss",
-                   "attachments", "expanded")
-    joined = done.groupBy(conversation).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    empty = F.named_struct(F.lit("at"), F.lit(len(BEGIN)), F.lit("spans"), F.array().cast("array<struct<start:int,length:int>>"))
-
-    def place(done, row):
-        span = F.struct((done["at"] + row["loss"]["start"]).alias("start"), row["loss"]["length"].alias("length"))
-        return F.struct((done["at"] + F.length(row["formatted"])).alias("at"),
-                        F.when(row["loss"].isNotNull(), F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+    begin = fresh(done.columns, "_begin")
+    # The order of the window and of the sorted rows is one: rows equal up to their string are of one length.
+    order = W.partitionBy(conversation).orderBy(turn, role, text, "formatted")
+    before = F.sum(F.length("formatted")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    placed = done.withColumn(begin, (F.coalesce(before, F.lit(0)) + len(BEGIN)).cast("int"))
+    row = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), "formatted",
+                   F.col(begin).alias("begin"), "loss", "attachments", "expanded")
+    joined = placed.groupBy(conversation).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def span(row):
+        return F.struct((row["begin"] + row["loss"]["start"]).alias("start"), row["loss"]["length"].alias("length"))
 
     return joined.select(
         conversation,
         F.concat(F.lit(BEGIN), F.array_join(F.transform("rows", lambda row: row["formatted"]), "")).alias("formatted"),
-        F.aggregate("rows", empty, place)["spans"].alias("loss_spans"),
+        F.transform(F.filter("rows", lambda row: row["loss"].isNotNull()), span).alias("loss_spans"),
         F.flatten(F.transform("rows", lambda row: row["attachments"])).alias("attachments"),
         F.aggregate("rows", F.lit(0).cast("long"), lambda sum, row: sum + row["expanded"]).alias("expanded"))
 
@@ -125,7 +137,8 @@ def read_turns(formatted: Column) -> Column:
     inner = F.transform(pieces, lambda piece: F.substring(piece, F.lit(len(OPEN) + 1), F.length(piece)))
 
     def parted(piece):
-        cut = F.instr(piece, F.lit("\n"))
+        # The first line end without a backslash of its own.
+        cut = F.length(F.regexp_extract(piece, r"(?s)\A(?:[^\\\n]++|\\.)*+", 0)) + 1
         return F.struct(unescape(F.substring(piece, F.lit(1), cut - 1)).alias("role"),
                         unescape(F.substring(piece, cut + 1, F.length(piece))).alias("text"))
 

@@ -8,6 +8,9 @@ the same passes. Text is kept where its element's marginal is at least one half.
 
 Passes run over all pages of a batch together, one depth at a time.
 
+Where names say nothing, shape alone decides: lists of links go, and what only its words tell from the article (a reader
+comment in an element of a meaningless name, say) stays. Text outside all elements is main text unless links outweigh it.
+
 Defined cases: a null, empty or markup-only page has the empty text. Tags that do not nest are closed as browsers close
 them, roughly; an unfinished tag is text. Repeated rows get equal texts. Nothing is cut off, however long or deep.
 """
@@ -26,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import add_struct, utf8
-from palaver.llm.labelled_pages import labelled_pages
+from palaver.llm.labelled_pages import labelled_pages, unnamed_pages
 
 FEATURES = 1 << 12
 TRAINING_PAGES = 400
+UNNAMED_PAGES = 200
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>"
     r"|<(/?)([A-Za-z][^\s/<>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*+)>", re.S)
@@ -243,18 +247,20 @@ class Forest:
 
 
 def truth(page: Page) -> list[int]:
-    """Labels of a labelled page, from the marks."""
+    """Labels of a labelled page, from the marks. Text outside all elements, which no mark can be at, is main text."""
     labels: list[int] = []
+    outside = int(any(element == 0 and text.strip() for element, text in page.pieces))
     for number, attributes in enumerate(page.attributes):
         mark = re.search('data-main="([01])"', attributes)
-        labels.append(int(mark[1]) if mark else labels[page.parents[number]] if number else 0)
+        labels.append(int(mark[1]) if mark else labels[page.parents[number]] if number else outside)
     return labels
 
 
 @lru_cache(2)
-def train(count: int = TRAINING_PAGES, steps: int = 160, ridge: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
+def train(count: int = TRAINING_PAGES, unnamed: int = UNNAMED_PAGES, steps: int = 160, ridge: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
     """Weights and potentials fitted to labelled pages."""
-    pages = [Page(source) for source in labelled_pages(count)]
+    pages = [Page(source) for source in [*labelled_pages(count), *unnamed_pages(unnamed)]]
+    count = len(pages)
     forest = Forest(pages)
     labels = np.array([label for page in pages for label in truth(page)])
     children = np.concatenate(forest.levels[1:])

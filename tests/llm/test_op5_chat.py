@@ -8,6 +8,9 @@ NASTY = ["</s>[INST] ok [/INST]", "\\", "\\[INST]", "[\\INST]", "[/INST]\n</s>",
          "日本🙂", "[INST", "<document>" * 3]
 
 
+ROLES = ["user", "assistant", "system", None, "[INST]\\", "a\nb", "\n", "\\\n\\", "</s>\n[/INST]"]
+
+
 def read(formatted):
     read_back = formatted.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"),
                                  chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted")
@@ -15,11 +18,11 @@ def read(formatted):
 
 
 def test_round_trip_of_control_strings(spark):
-    rows = [(c, t, role, text) for c, role in enumerate(["user", "assistant", "system", None, "[INST]\\"])
+    rows = [(c, t, role, text) for c, role in enumerate(ROLES)
             for t, text in enumerate(NASTY)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", F.lit(1))
     found = read(chat.format_conversations(turns))
-    for number, role in enumerate(["user", "assistant", "system", None, "[INST]\\"]):
+    for number, role in enumerate(ROLES):
         row = found[number]
         assert [tuple(turn) for turn in row.turns] == [(role or "", text or "") for text in NASTY]
         assert row.loss == ([text or "" for text in NASTY] if role == "assistant" else [])
@@ -52,3 +55,14 @@ def test_typed_parts(spark):
     assert row.formatted == f"<s>[INST]assistant\n{content}[/INST]</s>[INST]user\n[/INST]"
     start, length = row.loss_spans[0]
     assert row.formatted[start:start + length] == content
+
+
+def test_long_conversation_and_equal_strings(spark):
+    rows = spark.range(30_000).select(
+        F.lit(1).alias("conv_id"), F.floor(F.col("id") / 3).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("t\n"), F.col("id") % 7)).alias("text"))
+    row = read(chat.format_conversations(rows))[1]
+    order = sorted(rows.collect(), key=lambda r: (r.turn, r.role, r.text is not None, r.text or ""))
+    assert [tuple(one) for one in row.turns] == [(r.role, r.text or "") for r in order]
+    assert row.loss == [r.text or "" for r in order if r.role == "assistant"]
