@@ -2,13 +2,11 @@
 
 ``data-main="1"`` marks an element whose text is main text, with everything in it up to a ``data-main="0"``. The mark
 is taken off before a page is turned into features. Words are made up, so that only the mark-up can be learned.
-Some pages have no wrapper, no mark-up, or names that say nothing; their extras are such as links alone give away.
 """
 
 from __future__ import annotations
 
 import random
-import re
 
 SYLLABLES = ("ka", "lo", "mi", "ter", "san", "ver", "ple", "ron", "dis", "ak", "um", "ost", "fi", "gra", "el", "nu")
 
@@ -103,28 +101,3 @@ def labelled_page(chance: random.Random) -> str:
 def labelled_pages(count: int, seed: int = 0) -> list[str]:
     chance = random.Random(seed)
     return [labelled_page(chance) for _ in range(count)]
-
-
-def unnamed_page(chance: random.Random) -> str:
-    """A page whose names say nothing: bare paragraphs, text in the body or outside all elements, or wrappers by number."""
-    links = [chance.choice(MENUS) for _ in range(3)]
-    body = "".join(chance.choice(PARAGRAPHS) for _ in range(chance.choice([1, 2, 3, 5, 8])))
-    layout = chance.randrange(4)
-    if layout == 0:
-        plain = ("<p>{s} {s} {s}</p>", "<p>{s} {l} {s} {s}</p>", "<p>{s}</p>", "<p>{w}</p>", "<h2>{w}</h2>")
-        page = chance.choice(("", "<h1>{w}</h1>")) + "<p>{s}</p>" + "".join(chance.choice(plain) for _ in range(chance.randrange(5)))
-        page = re.sub("<(p|h1|h2)>", r'<\1 data-main="1">', page)
-    elif layout == 1:
-        page = " ".join(["{s}"] * chance.randrange(1, 6)) + chance.choice(("", "<br>{s}" + off(links[0])))
-    elif layout == 2:
-        page = '<html><body data-main="1">' + off(links[0]) + "{s} {s}<br>{s}" + body + off(links[1]) + "</body></html>"
-    else:
-        page = "<html><body>" + links[0] + links[1] + '<div data-main="1">' + body + "</div>" + links[2] + "</body></html>"
-        page = re.sub(' (class|id|role)="[^"]*"', "", page)
-        page = re.sub("<div", lambda _: f'<div class="x{chance.randrange(9)}"', page)
-    return filled(chance, page)
-
-
-def unnamed_pages(count: int, seed: int = 0) -> list[str]:
-    chance = random.Random(f"unnamed {seed}")
-    return [unnamed_page(chance) for _ in range(count)]
