@@ -308,6 +308,7 @@ def gate_rolling(
 ) -> DataFrame:
     """Adds ``allowed`` by a per-user counter whose expiry each allowed call renews. Batch.
 
+    Only user, time and id are folded; other columns meet the outcome afterwards, those of them that are asked for.
     Calls without a user are counted as one user's. Users with more than ``chunk_rows`` calls are cut into chunks by
     their measured counts: whole windows of time are taken together until a chunk holds that many calls. Calls of one
     user within one window stay in one chunk.
@@ -315,7 +316,8 @@ def gate_rolling(
     _check_gate(limit, window_seconds)
     window = window_seconds * 1_000_000
     counts = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
-    marked = calls.withColumn("_counts", counts)
+    whole_calls = calls.withColumn("_counts", counts)
+    marked = whole_calls.select(user, time, row_id, "_counts")
 
     micros = F.unix_micros(time)
     slots = (
@@ -348,7 +350,23 @@ def gate_rolling(
     out = [name for name in ready.columns if name not in _WORK_COLUMNS]
     schema = T.StructType([*ready.select(*out).schema.fields, T.StructField("allowed", T.BooleanType(), True)])
     folded = ready.mapInArrow(lambda batches: _fold_batches(batches, user, time, limit, window), schema)
-    return folded.select(*calls.columns, "allowed")
+    if set(calls.columns) == {user, time, row_id}:
+        return folded.select(*calls.columns, "allowed")
+    return _with_outcomes(whole_calls, folded, [user, time, row_id]).select(*calls.columns, "allowed")
+
+
+def _with_outcomes(calls: DataFrame, folded: DataFrame, key: list[str]) -> DataFrame:
+    """The calls with all their columns, which do not go through the fold: they are dealt by user, time and id, so that
+    the texts of a busy user are not read by one task. Of calls alike in these, as many are allowed as were."""
+    outcomes = folded.groupBy(*key).agg(F.count_if("allowed").alias("_passed"))
+    alike = Window.partitionBy(*key)
+    return (
+        calls.unionByName(outcomes, allowMissingColumns=True)
+        .withColumn("_rank", F.row_number().over(alike.orderBy(F.col("_passed").isNotNull(), F.col("_counts").desc())))
+        .withColumn("_most", F.max("_passed").over(alike))
+        .filter(F.col("_passed").isNull())
+        .withColumn("allowed", F.col("_counts") & (F.col("_rank") <= F.col("_most")))
+    )
 
 
 def admit(

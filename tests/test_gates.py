@@ -78,6 +78,25 @@ def test_hot_users_are_cut_into_chunks(chat):
     assert "_chunk" in keys and "MapInArrow" in keys
 
 
+def test_texts_of_a_busy_user_do_not_go_through_the_fold(chat):
+    events = chat([("a", "s", n, "long " * 200) for n in range(50)])
+    checked = gate_rolling(events, 3, 7, counted=F.length("text") > 0)
+    plan = checked.select("message_id", "allowed")._jdf.queryExecution().optimizedPlan().toString()
+    folded = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert folded and not any(name in line for line in folded for name in ("text#", "origin_pod_id#"))
+    assert {r.text for r in checked.collect()} == {"long " * 200}
+
+
+def test_calls_alike_pass_as_often_as_the_counter_lets_them(chat):
+    events = chat([("a", "s", 0, "no"), ("a", "s", 0, "1"), ("a", "s", 0, "2"), ("a", "s", 0, "3"), (None, "s", 0, "4"),
+                   (None, "s", 0, "5"), ("a", "s", 90, "6")]).withColumn("message_id", F.when(F.col("text") == "6", "m"))
+    for chunk_rows in (1_000_000, 1):
+        rows = gate_rolling(events, 2, 60, counted=F.col("text") != "no", chunk_rows=chunk_rows).collect()
+        assert sorted(r.text for r in rows) == ["1", "2", "3", "4", "5", "6", "no"]
+        passed = [r.text for r in rows if r.allowed]
+        assert len(passed) == 5 and {"4", "5", "6"} < set(passed) and "no" not in passed
+
+
 def test_rolling_gate_edge(chat):
     events = chat([("a", "s", 0), ("a", "s", 1), ("a", "s", 60.9), ("a", "s", 61)])
     found = {r.message_id: r.allowed for r in gate_rolling(events, 2, 60).collect()}
