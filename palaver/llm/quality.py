@@ -5,8 +5,8 @@ text's score is the mean log-likelihood ratio of its n-grams. Every text is then
 kept unless its score lies further below the trusted texts' mean than ``tolerance`` of their standard deviations.
 
 The buckets are fixed in number, so the ratios are a constant of bounded size in the plan. The corpus side is counted
-over all texts. The trusted side is a sample of the labelled ids, bounded by ``max_trusted``, so that the ids, not the
-texts, can be sent to the tasks.
+over all texts, the trusted side, like the mean and deviation of its scores, over all texts labelled 1. Up to
+``max_broadcast`` trusted ids are sent to the tasks, so that no texts are shuffled; more are joined as Spark plans it.
 
 Defined cases: a null text has no words and scores 0; texts that fail a base rule are not kept; without trusted texts
 all ratios are 0 and the base rules decide alone. Repeated rows get equal results.
@@ -19,10 +19,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import SPACES, add_struct, fresh, hash_share, let
+from palaver.llm.common import SPACES, add_struct, fresh, let
 
 BUCKETS = 10_000
-MAX_TRUSTED = 20_000
+MAX_BROADCAST = 2_000_000
 TOLERANCE = 6.0
 REPEAT_WINDOW = 5
 SPACE_CHARACTERS = "\t\n\x0b\x0c\r "
@@ -85,16 +85,14 @@ def buckets_of(words: Column, buckets: int) -> Column:
     return F.concat(single, F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
 
 
-def trusted_ids(labels: DataFrame, bound: int, doc_id: str, quality: str) -> DataFrame:
-    """Ids labelled 1, about ``bound`` of them at most, the same ones on every run."""
+def trusted_ids(labels: DataFrame, max_broadcast: int, doc_id: str, quality: str) -> DataFrame:
+    """All ids labelled 1, once each, to be broadcast if there are up to ``max_broadcast``."""
     good = labels.filter((F.col(quality) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("trusted_id")).distinct()
-    return good.filter(hash_share(F.col("trusted_id"), 29, bound / max(1, good.count())))
+    return F.broadcast(good) if good.count() <= max_broadcast else good
 
 
-def ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: int, doc_id: str, text: str,
-           quality: str) -> list[float]:
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, doc_id: str, text: str) -> list[float]:
     """The log ratio of each bucket, trusted over raw, with one added to every count."""
-    trusted = F.broadcast(trusted_ids(labels, max_trusted, doc_id, quality))
     flagged = docs.select(doc_id, text).join(trusted, F.col(doc_id) == F.col("trusted_id"), "left")
     split = flagged.select(words_of(F.col(text)).alias("words"), F.col("trusted_id").isNotNull().cast("long").alias("trusted"))
     grams = split.select(F.explode(buckets_of(F.col("words"), buckets)).alias("bucket"), "trusted")
@@ -117,14 +115,14 @@ def ratio_score(words: Column, table: list[float]) -> Column:
     return F.when(F.size(words) > 0, total / (2 * F.size(words) - 1)).otherwise(F.lit(0.0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED,
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_broadcast: int = MAX_BROADCAST,
                   tolerance: float = TOLERANCE, doc_id: str = "doc_id", text: str = "text",
                   quality: str = "quality") -> DataFrame:
     """All rows and columns with the base statistics, ``score``, ``base_failed`` and ``kept`` appended."""
-    table = ratios(docs, labels, buckets, max_trusted, doc_id, text, quality)
+    trusted = trusted_ids(labels, max_broadcast, doc_id, quality)
+    table = ratios(docs, trusted, buckets, doc_id, text)
     split = fresh(docs.columns, "_words")
     words = F.col(split)
-    trusted = F.broadcast(trusted_ids(labels, max_trusted, doc_id, quality))
     good = docs.join(trusted, F.col(doc_id) == F.col("trusted_id"), "left_semi").withColumn(split, words_of(F.col(text)))
     middle = good.select(ratio_score(words, table).alias("s")).agg(F.avg("s"), F.stddev_pop("s")).first()
     threshold = (middle[0] or 0.0) - tolerance * max(middle[1] or 0.0, 1e-6)

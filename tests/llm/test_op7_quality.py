@@ -65,6 +65,14 @@ def test_against_brute_force(spark):
         assert row.kept == (not failed and scores[number] >= middle - 0.5 * spread)
 
 
+def test_every_trusted_text_counts(spark):
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted_ids(labels, 1_000, "doc_id", "quality").count() == 30_000
+    docs = spark.createDataFrame(list(enumerate(TEXTS)) * 2, "doc_id long, text string")
+    sent, joined = (quality.quality_rules(docs, labels.filter("doc_id % 3 = 0"), 50, bound).collect() for bound in (20_000, 0))
+    assert sorted(sent, key=str) == sorted(joined, key=str)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
