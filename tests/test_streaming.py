@@ -1,7 +1,10 @@
 """Streams over small files, one file a batch, so that order and lateness are under control."""
 
+import random
 import uuid
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from palaver.operators.presence import online_intervals, online_intervals_stream
 from palaver.schemas import CHAT_EVENT, MEMBERSHIP, PRESENCE_EVENT
 from palaver.sources.events import read_files, read_payload_files
 from palaver.sources.sinks import start_file_sink
+from palaver.streaming import ordered
 from palaver.streaming.ordered import fan_out_by_changes, gate_fixed_stream, gate_rolling_stream, presence_stream
 from palaver.streaming.pipelines import (
     alerts_as_of_stream, alerts_stream, analytics_stream, dedupe_stream, late_rows, start_chat_jobs, start_history_writer, with_event_time,
@@ -199,6 +203,35 @@ def test_fan_out_by_changes_keeps_members_only_while_they_stay(spark, chat, feed
     assert drain.state_rows[-1] == (3, 1)
 
 
+def test_python_hands_on_blocks_and_not_pairs(monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_MESSAGES", 7)
+    monkeypatch.setattr(ordered, "BLOCK_MEMBERS", 3)
+    pick = random.Random(4)
+    kept, members = {}, ordered.ScopeMembers()
+    members.members = SimpleNamespace(iterator=lambda: [((k,), (v,)) for k, v in kept.items()], removeKey=lambda k: kept.pop(k[0]),
+                                      updateValue=lambda k, v: kept.update({k[0]: v[0]}))
+    counts, expected, found = {}, set(), set()
+    for batch in range(3):
+        slots = []
+        for micros in range(100 * batch, 100 * batch + 60):
+            items = sorted((rank, f"u{pick.randrange(9)}" if rank < 2 else f"m{micros}-{k}")
+                           for k in range(3) for rank in [pick.choice([0, 1, 1, 2, 2, 2])])
+            slots.append((micros, [{"rank": rank, "id": one} for rank, one in items]))
+            for rank, one in items:
+                if rank < 2:
+                    counts[one] = counts.get(one, 0) + (1 if rank else -1)
+            counts = {one: count for one, count in counts.items() if count > 0}
+            expected |= {(one, micros, user) for rank, one in items if rank == 2 for user in counts}
+        pick.shuffle(slots)
+        for frame in members.handleInputRows(("Channel", "x", 0), [pd.DataFrame(slots, columns=["micros", "items"])], None):
+            for block in frame.itertuples():
+                assert len(block.ids) <= 7 and len(block.users) <= 3
+                found |= {(one, micros, user) for place, (one, micros) in enumerate(zip(block.ids, block.times))
+                          for user, start, end in zip(block.users, block.starts, block.ends) if start <= place < end}
+        assert kept == counts
+    assert found == expected and len(found) > 1000
+
+
 def test_a_busy_scope_is_dealt_over_its_shares(spark, chat, feed, drain):
     messages = chat([("a", "x", n) for n in range(20)] + [("e", "y", 600)])
     changes = spark.createDataFrame([("Channel", "x", f"u{n}", "joined", at(0)) for n in range(50)]
