@@ -22,15 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from palaver.llm.common import add_struct, fresh, utf8
+from palaver.llm.common import add_struct, fresh, give_back, let, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
 # Lower-cases A-Z and turns every ASCII character that is no letter or digit into a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+# Hit words from the first to before the end, and the bytes of the text that hold them.
+SPANS = "array<struct<first:long,end:long,start:long,stop:long>>"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -158,9 +159,13 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) ->
 
 
 def probe(text: Column, automaton: Automaton) -> Column:
-    """A struct of the number of words, the hit word spans and the items found."""
+    """A struct of the number of words, the hit word spans and the items found.
 
-    @F.arrow_udf("n_words long, spans array<struct<first:long,end:long>>, items array<long>")
+    It counts as not deterministic, so that a filter on it stays behind it: pushed before it, the texts would be streamed
+    through the automaton once for the filter and once more for the spans, by Python workers of their own.
+    """
+
+    @F.arrow_udf(f"n_words long, spans {SPANS}, items array<long>")
     def probed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code = automaton.vocabulary.get
         for batch in batches:
@@ -170,32 +175,36 @@ def probe(text: Column, automaton: Automaton) -> Column:
                 counts.append(len(tokens))
                 codes = np.fromiter(map(code, tokens, repeat(-1)), np.int32, len(tokens))
                 found, named = automaton.hits(codes) if tokens and automaton.least else ([], set())
-                spans.append([{"first": first, "end": end} for first, end in found])
+                places = [match.span() for match in WORD.finditer(value)] if found else []
+                spans.append([{"first": first, "end": end, "start": places[first][0], "stop": places[end - 1][1]}
+                              for first, end in found])
                 items.append(sorted(named - {None}))
             yield pa.StructArray.from_arrays(
                 [pa.array(counts, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
+                 pa.array(spans, pa.list_(pa.struct([(field, pa.int64()) for field in ("first", "end", "start", "stop")]))),
                  pa.array(items, pa.list_(pa.int64()))], ["n_words", "spans", "items"])
+            give_back()
 
-    return probed(text)
+    return probed.asNondeterministic()(text)
 
 
 def merge_spans(old: Column, new: Column) -> Column:
     """Union of two sorted lists of spans."""
     def step(done, span):
         last = F.element_at(done, -1)
-        joined = F.struct(last["first"].alias("first"), F.greatest(last["end"], span["end"]).alias("end"))
+        joined = F.struct(last["first"].alias("first"), F.greatest(last["end"], span["end"]).alias("end"),
+                          last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
         return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["first"]),
                       F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(
                           F.concat(done, F.array(span)))
 
-    empty = F.array().cast("array<struct<first:long,end:long>>")
+    empty = F.array().cast(SPANS)
     return F.aggregate(F.array_sort(F.concat(old, new)), empty, step)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
                        text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All rows and columns with ``n_words``, ``n_hit``, ``spans`` (hit words) and ``items`` appended."""
+    """All rows and columns with ``n_words``, ``n_hit``, ``spans`` (hit words and their bytes) and ``items`` appended."""
     name = fresh(docs.columns, "_probe")
     found = None
     for block in item_blocks(items, item_id, item_text, block_words):
@@ -217,25 +226,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     return add_struct(found, whole, ["n_words", "n_hit", "spans", "items"]).drop(name)
 
 
-@F.arrow_udf(T.StringType())
-def without_words(texts: pa.Array, firsts: pa.Array, ends: pa.Array) -> pa.Array:
-    """The text without the spans of words; one space stands where words were cut out."""
-    kept = []
-    for value, first, end in zip(utf8(texts), firsts.to_pylist(), ends.to_pylist()):
-        if value and first:
-            places = [match.span() for match in WORD.finditer(value)]
-            parts, done = [], 0
-            for a, b in zip(first, end):
-                parts.append(value[done:places[a][0]].rstrip(b" "))
-                done = places[b - 1][1]
-            parts.append(value[done:])
-            value = b" ".join(parts)
-        kept.append(value)
-    return pa.array(kept, pa.binary()).cast(pa.string())
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text without the spans of words; one space stands where words were cut out. Native: no second Python worker."""
+    whole = F.struct(
+        text.cast("binary").alias("bytes"), F.concat(F.array(F.lit(0).cast("long")), spans["stop"]).alias("starts"),
+        F.concat(spans["start"], F.array(F.octet_length(text).cast("long"))).alias("stops"))
+
+    def kept(one: Column) -> Column:
+        def part(start: Column, number: Column) -> Column:
+            size = F.get(one["stops"], number) - start
+            value = F.substring(one["bytes"], (start + 1).cast("int"), size.cast("int")).cast("string")
+            return F.when(number < F.size(one["stops"]) - 1, F.rtrim(value)).otherwise(value)
+
+        return F.array_join(F.transform(one["starts"], part), " ")
+
+    return let(whole, kept)
 
 
 def remove_contamination(found: DataFrame, max_coverage: float = 0.5, text: str = "text") -> DataFrame:
     """Drop rows of which more than ``max_coverage`` of the words are hit; cut the hit words out of the others."""
     spans = F.col("spans")
-    cleaned = F.when(F.size(spans) > 0, without_words(F.col(text), spans["first"], spans["end"])).otherwise(F.col(text))
+    cleaned = F.when(F.size(spans) > 0, without_spans(F.col(text), spans)).otherwise(F.col(text))
     return found.filter(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")).withColumn(text, cleaned)

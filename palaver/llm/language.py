@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import add_struct, hash_share, held_out, utf8
+from palaver.llm.common import add_struct, give_back, hash_share, held_out, utf8
 
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
@@ -212,6 +212,7 @@ def predict(text: Column | str, network: ByteNetwork | None) -> Column:
                     names[number] = labels[best]
                 scores[known] = chances.max(1)
             yield pa.StructArray.from_arrays([pa.array(names), pa.array(scores)], ["lang_pred", "score"])
+            give_back()
 
     return scored(F.col(text) if isinstance(text, str) else text)
 

@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import add_struct, fresh, utf8
+from palaver.llm.common import add_struct, fresh, give_back, utf8
 
 CHUNK = 16_384
 GIANT = 65_536
@@ -452,6 +452,7 @@ def encode_texts(text: Column, vocabulary: Vocabulary, read_back: bool) -> Colum
             if read_back:
                 columns["decoded"] = pa.array([decode_ids(np.frombuffer(value, "<i4"), shown) for value in found], pa.string())
             yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
+            give_back()
 
     return encoded(text)
 

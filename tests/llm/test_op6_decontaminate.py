@@ -66,3 +66,28 @@ def test_empty_tables(spark):
     row = decontaminate.find_contamination(docs, none).first()
     assert (row.n_words, row.n_hit, row.spans, row.items) == (2, 0, [], [])
     assert decontaminate.find_contamination(docs.limit(0), none).collect() == []
+
+
+def cut_by_python(text, spans):
+    value, parts, done = text.encode(), [], 0
+    places = [match.span() for match in decontaminate.WORD.finditer(value)]
+    for span in spans:
+        parts.append(value[done:places[span.first][0]].rstrip(b" "))
+        done = places[span.end - 1][1]
+    return b" ".join([*parts, value[done:]]).decode() if spans else text
+
+
+def test_removal_is_that_of_python_and_streams_each_text_once(spark):
+    texts, items = made()
+    texts += ["\xc9t\xe9  n9 \xe9t\xe9  \xa0n9, \U0001f389 w1 n9\tend  ", "a n9 b n9  c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for block_words, blocks in ((10_000, 1), (200, None)):
+        found = decontaminate.find_contamination(docs, table, block_words=block_words)
+        cleaned = decontaminate.remove_contamination(found, max_coverage=1.0)
+        want = {row.doc_id: None if row.text is None else cut_by_python(row.text, row.spans) for row in found.collect()}
+        assert {row.doc_id: row.text for row in cleaned.collect()} == want
+        if blocks:
+            plan = cleaned.select("doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+            # A node of its own for the filter, the spans and the cutting would be a Python worker a task each.
+            assert plan.count("ArrowEvalPython") == blocks
