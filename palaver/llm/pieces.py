@@ -22,6 +22,7 @@ Defined cases: null and empty texts give no ids and decode to the empty text. Re
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -126,6 +127,13 @@ class Encoder:
         self.valid = {piece for piece in vocabulary.ids if self.histories[piece] is not None}
         self.histories.clear()
 
+    def forget(self) -> None:
+        """Drop what can be built again. A worker outlives its task, and the memories refer to their encoder in a cycle,
+        so that the next task's ones would come on top of them."""
+        for memory in (self.words, self.seams, self.histories, self.tails):
+            memory.clear()
+        self.__dict__.pop("tree", None)
+
     @cached_property
     def tree(self) -> dict:
         """All pieces by their characters; a piece stands under the empty key where it ends. Built in each task."""
@@ -446,6 +454,7 @@ def encode_texts(text: Column, vocabulary: Vocabulary, read_back: bool) -> Colum
 
     @F.arrow_udf("ids array<int>, decoded string" if read_back else "ids array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        gc.collect()
         for batch in batches:
             found = [encoder.encode(value) if value else b"" for value in texts_of(batch)]
             columns = {"ids": id_lists(found)}
@@ -453,6 +462,8 @@ def encode_texts(text: Column, vocabulary: Vocabulary, read_back: bool) -> Colum
                 columns["decoded"] = pa.array([decode_ids(np.frombuffer(value, "<i4"), shown) for value in found], pa.string())
             yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
             give_back()
+        encoder.forget()
+        give_back()
 
     return encoded(text)
 

@@ -63,3 +63,12 @@ def test_products_are_associative():
     chance = np.random.default_rng(3)
     a, b, c = (np.where(chance.random((4, 4)) < 0.5, 0.0, -np.inf) for _ in range(3))
     assert (pieces.product(pieces.product(a, b), c) == pieces.product(a, pieces.product(b, c))).all()
+
+
+def test_an_encoder_forgets_and_gives_the_same_ids_again():
+    encoder = pieces.Encoder(pieces.Vocabulary.load(MODEL))
+    text = "The house stands near the water, 12 stones.\nEnd"
+    first = encoder.encode(text)
+    encoder.forget()
+    assert not encoder.words and not encoder.histories and "tree" not in encoder.__dict__
+    assert encoder.encode(text) == first and len(encoder.words)
