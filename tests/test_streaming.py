@@ -180,6 +180,22 @@ def test_fan_out(spark, chat, feed, drain):
     assert pick(drain(pairs)) == pick(fan_out(messages, members)) == {("m0000", "u1"), ("m0000", "u2"), ("m0001", "u2")}
 
 
+def test_fan_out_holds_blocks_and_lets_messages_go(spark, chat, feed, drain, monkeypatch):
+    sent = [("a", "x", 5 + n) for n in range(40)] + [("b", "x", 7, "\u00e9 \"q\"\n"), ("b", "z", 400), ("b", "z", 800), (None, "x", 6, None)]
+    messages = chat(sent).withColumn("created_at", F.col("created_at") + F.expr("interval 123456 microseconds"))
+    members = spark.createDataFrame(
+        [("Channel", "x", f"u{n}", at(n), at(n + 9)) for n in range(30)] + [("Channel", "x", "u1", at(1), at(10)),
+         ("Channel", "x", None, at(8), None), ("Channel", None, "u5", at(0), None), ("Channel", "z", "v", at(390), None)], MEMBERSHIP)
+    frames = [messages.filter("scope_id = 'x'"), messages.filter("message_id = 'm0041'"), messages.filter("message_id = 'm0042'")]
+    joins = [members.filter("user_id <> 'v' and user_id <> 'u7'"), members.filter("user_id is null or user_id = 'u7'"), members.filter("user_id = 'v'")]
+    stream = fan_out_stream(with_event_time(feed(frames), "1 hour"), with_event_time(feed(joins, MEMBERSHIP), "1 hour", time="joined_at"), shares=2)
+    assert "user_id" == stream.columns[-1] and stream.columns[:-1] == messages.columns
+    rows = lambda frame: sorted(map(repr, frame.select(*messages.columns, "user_id").collect()))
+    assert rows(drain(stream)) == rows(fan_out(messages, members))
+    # One block a share of x and of z or two, where a join of rows keeps every message and member.
+    assert drain.state_rows[-1][-1] < 30
+
+
 CHANGE = "scope_type string, scope_id string, user_id string, kind string, ts timestamp"
 
 
