@@ -258,6 +258,22 @@ def test_a_busy_scope_is_dealt_over_its_shares(spark, chat, feed, drain):
     assert found.filter("scope_id = 'x'").select(F.expr("pmod(xxhash64(user_id), 4)")).distinct().count() == 4
 
 
+def test_a_stream_of_changes_stores_runs_and_not_pairs(spark, chat, feed, drain):
+    messages = chat([("a", "x", n) for n in range(30)] + [("b", "y", n, "hi", None) for n in range(3)] + [("e", "y", 600)])
+    changes = spark.createDataFrame(
+        [("Channel", "x", f"u{n}", "joined", at(n % 7)) for n in range(40)] + [("Channel", "x", f"u{n}", "left", at(9 + n)) for n in range(9)]
+        + [("Channel", "x", "u1", "joined", at(20)), ("Channel", "x", None, "joined", at(3)), (None, "y", "v", "joined", at(1))], CHANGE)
+    stream = lambda **how: fan_out_by_changes(
+        with_event_time(feed([messages])), with_event_time(feed([changes], changes.schema), time="ts"), 4, **how)
+    pairs, blocks = drain(stream()), drain(stream(in_blocks=True))
+    rows = lambda frame: sorted(map(repr, frame.collect()))
+    found = ordered.pairs_of_changes(ordered.in_many_tasks(blocks))
+    assert rows(found) == rows(pairs) and found.columns == pairs.columns and found.count() > 500
+    # A block a share of x and of y, where a row a pair was stored.
+    assert blocks.count() <= 8
+    assert found.select(F.spark_partition_id()).distinct().count() > 2
+
+
 def test_thresholds_change_while_the_stream_runs(spark, chat, feed, drain):
     frames = [chat([(user, "s", 100 * part + n) for user in "ab" for n in range(5)]) for part in range(4)]
     frames = [frame.withColumn("message_id", F.concat(F.lit(f"f{k}-"), "message_id")) for k, frame in enumerate(frames)]
