@@ -196,6 +196,21 @@ def test_fan_out_holds_blocks_and_lets_messages_go(spark, chat, feed, drain, mon
     assert drain.state_rows[-1][-1] < 30
 
 
+def test_a_stream_of_memberships_stores_runs_and_not_pairs(spark, chat, feed, drain):
+    messages = chat([("a", "x", n) for n in range(30)] + [("b", "x", 7, "\u00e9 \"q\""), (None, "y", 6, None), ("e", "y", 9)])
+    messages = messages.withColumn("created_at", F.col("created_at") + F.expr("interval 123456 microseconds"))
+    members = spark.createDataFrame(
+        [("Channel", "x", f"u{n}", at(n % 7), at(9 + n)) for n in range(30)] * 2 + [("Channel", "x", None, at(8), None), ("Channel", "x", "w", at(8), at(8)),
+         ("Channel", "x", "w", at(12), at(3)), ("Channel", "y", "v", at(6.123456), at(9.123456))], MEMBERSHIP)
+    stream = fan_out_stream(with_event_time(feed([messages])), with_event_time(feed([members], MEMBERSHIP), time="joined_at"), 4, in_blocks=True)
+    blocks = drain(stream)
+    found = ordered.pairs_of_meetings(ordered.in_many_tasks(blocks), messages.schema)
+    rows = lambda frame: sorted(map(repr, frame.select(*messages.columns, "user_id").collect()))
+    assert rows(found) == rows(fan_out(messages, members)) and found.columns == [*messages.columns, "user_id"]
+    # A block a share of x and of y, where a row a pair was stored.
+    assert found.count() > 1000 and blocks.count() <= 8
+
+
 CHANGE = "scope_type string, scope_id string, user_id string, kind string, ts timestamp"
 
 
